@@ -116,9 +116,9 @@ class _Slices:
         return self.indexes(low, slice_ + self.per_window - 1)
 
 
-def _grown(value: Column, previous: Column) -> Column:
-    """Growth since the previous sample; a drop is a restart from zero."""
-    return F.when(previous.isNull(), 0.0).when(value < previous, value).otherwise(value - previous)
+def _lost(value: Column, previous: Column) -> Column:
+    """What a counter lost by restarting from zero before this sample."""
+    return F.when(value < previous, previous).otherwise(0.0)
 
 
 def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
@@ -136,31 +136,33 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     pieces = rows.groupBy("metric", "_key", "_slice", SEG).agg(
         F.max(F.when(F.isnull("_prev"), F.col("value"))).alias("_first"),
         F.max(F.when(F.isnull("_next"), F.col("value"))).alias("_last"),
-        F.sum(_grown(F.col("value"), F.col("_prev"))).alias("_inner"),
+        F.sum(_lost(F.col("value"), F.col("_prev"))).alias("_inner"),
     )
     series = Window.partitionBy("metric", "_key").orderBy("_slice", SEG)
     pieces = pieces.withColumns({
-        "_gap": _grown(F.col("_first"), F.lag("_last").over(series)),
+        "_between": _lost(F.col("_first"), F.lag("_last").over(series)),
         "_before": F.lag("_slice").over(series),
         "_after": F.lead("_slice").over(series),
     })
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = pieces.withColumn("_high", F.sum(F.col("_gap") + F.col("_inner")).over(upto))
+    pieces = pieces.withColumn("_lost", F.sum(F.col("_between") + F.col("_inner")).over(upto))
     none = F.lit(None).cast("double")
     slice_ = F.col("_slice")
+
+    def mark(i: Column, opens: bool) -> Column:
+        value, lost = (F.col("_first"), F.col("_lost") - F.col("_inner")) if opens else (F.col("_last"), F.col("_lost"))
+        ends = {"v0": value if opens else none, "r0": lost if opens else none,
+                "v1": none if opens else value, "r1": none if opens else lost}
+        return F.struct(i.alias("i"), *[c.alias(n) for n, c in ends.items()])
+
     marks = F.concat(
-        F.transform(
-            slices.opened_by(slice_, F.col("_before")),
-            lambda i: F.struct(i.alias("i"), (F.col("_high") - F.col("_inner")).alias("low"), none.alias("high")),
-        ),
-        F.transform(
-            slices.closed_by(slice_, F.col("_after")),
-            lambda i: F.struct(i.alias("i"), none.alias("low"), F.col("_high").alias("high")),
-        ),
+        F.transform(slices.opened_by(slice_, F.col("_before")), lambda i: mark(i, True)),
+        F.transform(slices.closed_by(slice_, F.col("_after")), lambda i: mark(i, False)),
     )
-    # Still partitioned by series, so this grouping does not shuffle.
+    # Still partitioned by series, so this grouping does not shuffle. Values and losses are
+    # subtracted apart: a counter that never restarts gives the exact difference.
     ends = pieces.select("metric", "_key", F.explode(marks).alias("m")).groupBy("metric", "_key", "m.i").agg(
-        (F.max("m.high") - F.max("m.low")).alias("value")
+        ((F.max("m.v1") - F.max("m.v0")) + (F.max("m.r1") - F.max("m.r0"))).alias("value")
     )
     return ends.select("metric", C.labels_from_key(F.col("_key")).alias("labels"), grid.at(F.col("i")).alias("ts"), "value")
 

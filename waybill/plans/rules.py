@@ -53,6 +53,20 @@ JOB_LABELS = {
     "kafka-exporter": {"app": "kafka-exporter"},
     "audit-outcomes-exporter": {"app": "audit-outcomes-exporter"},
 }
+# Metrics read as rates, as increases, and as instant values.
+COUNTERS = (
+    "kafka_broker_bytes_in_total", "kafka_broker_bytes_out_total", "kafka_broker_messages_in_total",
+    "container_cpu_usage_seconds_total", "node_cpu_seconds_total",
+)
+OUTCOME_COUNTERS = (
+    "audit_outcomes_total", "audit_batches_seen_total", "audit_replay_count_total", "audit_timeout_count_total",
+    "audit_partition_outcomes_total",
+)
+INSTANTS = (
+    "kafka_consumergroup_lag", "node_cpu_seconds_total", "jvm_process_cpu_load_ratio", "container_memory_usage_bytes",
+    "jvm_heap_used_bytes", "jvm_non_heap_used_bytes", "node_memory_MemAvailable_bytes", "node_memory_MemTotal_bytes",
+    *OUTCOME_COUNTERS,
+)
 # -----------------------------------------------------------------------------------------------
 
 
@@ -101,25 +115,30 @@ class Evaluation:
             self._kept[name] = cut_lineage(build())
         return self._kept[name]
 
-    def rate(self, metric: str, eq: dict[str, str] | None = None) -> DataFrame:
-        return self._growth(S.rate, metric, eq, self.rate_window)
+    def _evaluated(self, name: str, metrics: tuple[str, ...], evaluate_: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """All metrics of one kind in one pass; a later filter on metric or labels moves below it."""
+        if name not in self._kept:
+            out = evaluate_(self.samples.where(F.col("metric").isin(*metrics)))
+            self._kept[name] = cut_lineage(out) if self.keep else out
+        return self._kept[name]
 
-    def increase(self, metric: str, window: str, eq: dict[str, str] | None = None) -> DataFrame:
-        return self._growth(S.increase, metric, eq, window)
+    def _pick(self, evaluated: DataFrame, metric: str, eq: dict[str, str] | None) -> DataFrame:
+        rows = evaluated.where(F.col("metric") == metric)
+        return (S.match_labels(rows, eq) if eq else rows).select("labels", "ts", "value")
 
-    def _growth(self, fn, metric, eq, window) -> DataFrame:
-        def build() -> DataFrame:
-            rows = S.match_labels(self.samples.where(F.col("metric") == metric), eq)
-            return fn(rows, window, self.grid, **self.split).select("labels", "ts", "value")
+    def rate(self, metric: str, eq: dict[str, str] | None = None) -> DataFrame:
+        grown = self._evaluated(
+            "rate", COUNTERS, lambda rows: S.rate(rows, self.rate_window, self.grid, **self.split))
+        return self._pick(grown, metric, eq)
 
-        return self._once(f"{fn.__name__} {metric} {eq} {window}", build)
+    def increase(self, metric: str, window: str, eq: dict[str, str] | None = None) -> DataFrame:
+        grown = self._evaluated(
+            f"increase {window}", OUTCOME_COUNTERS, lambda rows: S.increase(rows, window, self.grid, **self.split))
+        return self._pick(grown, metric, eq)
 
     def instant(self, metric: str, eq: dict[str, str] | None = None) -> DataFrame:
-        def build() -> DataFrame:
-            rows = S.match_labels(self.samples.where(F.col("metric") == metric), eq)
-            return S.instant(rows, self.grid, self.lookback).select("labels", "ts", "value")
-
-        return self._once(f"instant {metric} {eq}", build)
+        held = self._evaluated("instant", INSTANTS, lambda rows: S.instant(rows, self.grid, self.lookback))
+        return self._pick(held, metric, eq)
 
     def rule(self, name: str) -> DataFrame:
         return self._once(f"rule {name}", lambda: RULES[name](self))

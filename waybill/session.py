@@ -40,9 +40,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once so that later readers do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to a table in the shared folder and go on from there.
+
+    Later readers scan the table, with column pruning and pushed filters, in place of recomputing it,
+    and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def micros(duration: str | int) -> int:

@@ -8,9 +8,12 @@ _RESULT = "array<struct<metric:map<string,string>,values:array<array<string>>>>"
 _SCHEMA = f"status string, data struct<resultType:string,result:{_RESULT}>"
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of one or many saved results, one JSON document per file."""
-    return _samples(spark.read.schema(_SCHEMA).json(path, multiLine=True))
+def read_matrix(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Samples of saved results: one JSON document per file, or with ``lines`` one per line.
+
+    A document that spans lines is read by one task; prefer lines for large results.
+    """
+    return _samples(spark.read.schema(_SCHEMA).json(path, multiLine=not lines))
 
 
 def parse_matrix(df: DataFrame, col: str = "value") -> DataFrame:
