@@ -5,7 +5,8 @@ small and wrong when a key holds a third of the rows. ``Ordered`` looks at a sam
 first. When no key is hot it is a plain window. Otherwise the hot keys, and only those, are cut
 into segments along their order, the window runs per (key, segment), and what a segment needs
 from the ones before or after it comes from a table with one row per segment, which is small by
-construction and therefore broadcast.
+construction and therefore broadcast. Where keys are known to be small, ``hot_rows=None`` leaves
+out the look at the sample.
 
 The sample only decides where to cut. Any cut gives the same result, so nothing is lost or
 approximated by it. The cut points are plain rows held by the driver (at most two per segment),
@@ -34,14 +35,16 @@ class Ordered:
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[str],
-        hot_rows: int = HOT_ROWS,
+        hot_rows: int | None = HOT_ROWS,
         fraction: float = SAMPLE_FRACTION,
     ):
         self.keys = list(keys)
         self.order = list(order)
-        # Few rows per segment means small data, where a thin sample would see nothing.
-        fraction = min(1.0, max(fraction, 200.0 / hot_rows))
-        cuts = _cut_points(df, self.keys, self.order, hot_rows, fraction)
+        cuts = None
+        if hot_rows is not None:
+            # Few rows per segment means small data, where a thin sample would see nothing.
+            fraction = min(1.0, max(fraction, 200.0 / hot_rows))
+            cuts = _cut_points(df, self.keys, self.order, hot_rows, fraction)
         self.split = cuts is not None
         self.rows = _tag(df, cuts, self.keys, self.order) if self.split else df.withColumn(SEG, F.lit(_WHOLE))
 

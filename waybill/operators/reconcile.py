@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waybill.schemas import BATCH_READ, OFFSET_COMMITTED, SINK_KEY
-from waybill.session import fits_broadcast
+from waybill.session import broadcast_if_small
 
 
 def _by_event(audit: DataFrame) -> DataFrame:
@@ -70,19 +70,24 @@ def sink_duplicates(sink: DataFrame, keys: Sequence[str] = SINK_KEY) -> DataFram
 
 
 def interval_join(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: Column, start: Column, end: Column, width: int
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: Column, start: Column, end: Column, width: int,
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Inner join of points with the intervals holding them (``start <= at <= end``), without a cross join.
 
     Both sides are cut into buckets of ``width``: a point falls in one, an interval is repeated for
-    each bucket it touches, and the join is an equality on keys and bucket. Adaptive execution splits
-    a bucket that turns out large. ``at``, ``start`` and ``end`` are whole numbers.
+    each bucket it touches, and the join is an equality on keys and bucket. A point thus meets only
+    the intervals of its bucket, and adaptive execution splits a bucket that turns out large. With
+    ``broadcast_rows`` the repeated intervals are counted, and broadcast if there are no more of them,
+    so that the points need no shuffle. ``at``, ``start`` and ``end`` are whole numbers.
     """
     step = F.lit(width)
     left = points.withColumns({"_at": at, "_bucket": F.floor(at / step)})
     right = intervals.withColumns({"_start": start, "_end": end}).withColumn(
         "_bucket", F.explode(F.sequence(F.floor(F.col("_start") / step), F.floor(F.col("_end") / step)))
     )
+    if broadcast_rows:
+        right = broadcast_if_small(right, broadcast_rows)
     hit = F.col("_at").between(F.col("_start"), F.col("_end"))
     return left.join(right, [*keys, "_bucket"]).where(hit).drop("_bucket", "_at", "_start", "_end")
 
@@ -143,12 +148,3 @@ def with_rates(sums: DataFrame, start: Column, last_log: Column, now: Column) ->
         "lifetime_consumed_rate": F.col("total_consumed") / elapsed(start),
         "lifetime_write_rate": F.col("total_written") / elapsed(start),
     })
-
-
-def tag_intervals(
-    points: DataFrame, intervals: DataFrame, at: Column, start: Column, end: Column, width: int, rows: int = 2000
-) -> DataFrame:
-    """Inner join of points with unkeyed intervals: broadcast when counted small, bucketed otherwise."""
-    if fits_broadcast(intervals, rows):
-        return points.join(F.broadcast(intervals), (at >= start) & (at <= end))
-    return interval_join(points, intervals, [], at, start, end, width)

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waybill.operators.reconcile import tag_intervals
-from waybill.session import broadcast_if_small
+from waybill.operators.reconcile import interval_join
+from waybill.session import BROADCAST_ROWS, broadcast_if_small
 
 
 def measured_window(samples: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -33,16 +33,17 @@ def phase_table(
     return runs.select("run_label", F.explode(F.array(*parts)).alias("p")).select("run_label", "p.*")
 
 
-def tag_phases(samples: DataFrame, phases: DataFrame, bucket_seconds: int = 600, broadcast_rows: int = 2000) -> DataFrame:
+def tag_phases(
+    samples: DataFrame, phases: DataFrame, bucket_seconds: int = 600, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Samples with the run and phase whose span holds them; samples outside every phase are dropped."""
     spans = phases.select(
         "run_label", "phase", F.unix_micros("start_ts").alias("_lo"), F.unix_micros("end_ts").alias("_hi")
     )
-    tagged = tag_intervals(
-        samples.withColumn("_us", F.unix_micros("ts")), spans,
-        F.col("_us"), F.col("_lo"), F.col("_hi"), bucket_seconds * 1_000_000, broadcast_rows,
+    tagged = interval_join(
+        samples, spans, [], F.unix_micros("ts"), F.col("_lo"), F.col("_hi"), bucket_seconds * 1_000_000, broadcast_rows
     )
-    return tagged.drop("_us", "_lo", "_hi")
+    return tagged.drop("_lo", "_hi")
 
 
 def run_means(tagged: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
