@@ -4,7 +4,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
-from tests.helpers import at, audit_rows, collected
+from tests.helpers import at, audit_rows
 from tests.test_lifecycle import random_logs
 from waybill.operators.lifecycle import lifecycle_batch
 from waybill.operators.outcomes import outcome_counters
@@ -212,9 +212,9 @@ def test_streamed_lifecycle_equals_batch(spark, tmp_path):
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 4
     end = audit.agg(F.max("timestamp")).first()[0]
     want = lifecycle_batch(audit, horizon=F.lit(end))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    for key in logs:
-        assert collected(got.where(F.col("eventId") == key)) == collected(want.where(F.col("eventId") == key)), key
+    got = spark.read.schema(OUTCOME).parquet(str(tmp_path / "out"))
+    assert got.count() == want.count() > 100
+    assert got.exceptAll(want).count() == 0
 
 
 def test_processing_clock_and_ttl(spark, tmp_path):

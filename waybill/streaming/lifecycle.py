@@ -135,7 +135,8 @@ def lifecycle_stream(
 
     ``clock="event"`` runs ticks on the watermark, which trails the latest event by ``late``; events
     older than the watermark are dropped by Spark. ``clock="processing"`` runs ticks on the wall clock and
-    drops nothing. ``seq`` names the column that orders equal timestamps (a topic offset, say). Entries
+    drops nothing; Spark then always has a next batch, so run it with a time trigger and not with
+    ``availableNow``. ``seq`` names the column that orders equal timestamps (a topic offset, say). Entries
     that timed out and are never committed stay in the state unless ``ttl`` is set.
     """
     if clock not in ("event", "processing"):
