@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from waybill.schemas import BATCH_READ, RANGES, STAGES
@@ -35,6 +37,11 @@ def _number(text: Column, kind: str) -> Column:
     return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind), F.lit(0).cast(kind))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def audit_struct(text: Column) -> Column:
     """Audit JSON as a struct, null where it breaks the audit contract.
 
@@ -43,17 +50,18 @@ def audit_struct(text: Column) -> Column:
     """
     raw = F.from_json(
         text,
-        "eventId string, stage string, consumerGroup string, sourceTopic string, timestamp string, "
-        "recordCount string, partitionRanges string",
-        _JSON,
-    )
-    items = F.from_json(
-        raw["partitionRanges"],
-        "array<struct<partition string, offsetMin string, offsetMax string, recordCount string>>",
+        "eventId string, stage string, consumerGroup string, sourceTopic string, timestamp string, recordCount string, "
+        "partitionRanges array<struct<partition string, offsetMin string, offsetMax string, recordCount string>>",
         _JSON,
     )
+    return _let(raw, lambda r: _let(
+        parse_instant(r["timestamp"]), lambda at: F.when(_audit_valid(r, at), _audit_fields(r, at))
+    ))
+
+
+def _audit_valid(raw: Column, at: Column) -> Column:
     complete = F.forall(
-        items,
+        raw["partitionRanges"],
         lambda r: F.coalesce(
             r["partition"].isNotNull()
             & r["offsetMin"].isNotNull()
@@ -62,38 +70,33 @@ def audit_struct(text: Column) -> Column:
             F.lit(False),
         ),
     )
-    ranges = F.transform(
-        items,
-        lambda r: F.struct(
-            _number(r["partition"], "int").alias("partition"),
-            _number(r["offsetMin"], "bigint").alias("offsetMin"),
-            _number(r["offsetMax"], "bigint").alias("offsetMax"),
-            _number(r["recordCount"], "int").alias("recordCount"),
-        ),
-    )
-    at = parse_instant(raw["timestamp"])
-    reads = raw["stage"] == BATCH_READ
-    valid = (
+    return (
         raw["eventId"].isNotNull()
         & raw["stage"].isin(*STAGES)
         & raw["consumerGroup"].isNotNull()
         & raw["sourceTopic"].isNotNull()
         & at.isNotNull()
         & raw["recordCount"].isNotNull()
-        & (~reads | (F.coalesce(raw["partitionRanges"].startswith("["), F.lit(False)) & F.coalesce(complete, F.lit(False))))
+        & ((raw["stage"] != BATCH_READ) | F.coalesce(complete, F.lit(False)))
     )
-    return F.when(
-        valid,
-        F.struct(
-            raw["eventId"].alias("eventId"),
-            raw["stage"].alias("stage"),
-            raw["consumerGroup"].alias("consumerGroup"),
-            raw["sourceTopic"].alias("sourceTopic"),
-            at.alias("timestamp"),
-            _number(raw["recordCount"], "int").alias("recordCount"),
-            F.when(reads, ranges).otherwise(F.array().cast(RANGES)).alias("partitionRanges"),
+
+
+def _audit_fields(raw: Column, at: Column) -> Column:
+    ranges = F.transform(
+        raw["partitionRanges"],
+        lambda r: F.struct(
+            _number(r["partition"], "int").alias("partition"),
+            _number(r["offsetMin"], "bigint").alias("offsetMin"),
+            _number(r["offsetMax"], "bigint").alias("offsetMax"),
+            _number(r["recordCount"], "int").alias("recordCount"),
         ),
     )
+    return F.struct(
+        *[raw[n].alias(n) for n in ("eventId", "stage", "consumerGroup", "sourceTopic")],
+        at.alias("timestamp"),
+        _number(raw["recordCount"], "int").alias("recordCount"),
+        F.when(raw["stage"] == BATCH_READ, ranges).otherwise(F.array().cast(RANGES)).alias("partitionRanges"),
+    )
 
 
 def outcome_struct(text: Column) -> Column:
@@ -105,11 +108,13 @@ def outcome_struct(text: Column) -> Column:
         "partitionRanges array<struct<partition int, offsetMin bigint, offsetMax bigint, recordCount int>>",
         _JSON,
     )
+    return _let(raw, _outcome_fields)
 
-    def counter(name: str) -> Column:
-        return F.when(raw[name].isNull(), 0).otherwise(raw[name].try_cast("int"))
 
-    counters = {n: counter(n) for n in ("recordCount", "replayCount", "timeoutCount")}
+def _outcome_fields(raw: Column) -> Column:
+    counters = {
+        n: F.when(raw[n].isNull(), 0).otherwise(raw[n].try_cast("int")) for n in ("recordCount", "replayCount", "timeoutCount")
+    }
     valid = raw["outcome"].isNotNull() & raw["consumerGroup"].isNotNull() & raw["sourceTopic"].isNotNull()
     for value in counters.values():
         valid = valid & value.isNotNull()
@@ -122,12 +127,11 @@ def outcome_struct(text: Column) -> Column:
             F.coalesce(r["recordCount"], F.lit(0)).alias("recordCount"),
         ),
     )
-    times = {n: parse_instant_or_epoch(raw[n]) for n in ("firstSeenAt", "lastSeenAt", "observedAt")}
     return F.when(
         valid,
         F.struct(
             *[raw[n].alias(n) for n in ("eventId", "outcome", "consumerGroup", "sourceTopic")],
-            *[c.alias(n) for n, c in times.items()],
+            *[parse_instant_or_epoch(raw[n]).alias(n) for n in ("firstSeenAt", "lastSeenAt", "observedAt")],
             *[c.alias(n) for n, c in counters.items()],
             ranges.alias("partitionRanges"),
         ),
@@ -161,7 +165,7 @@ def ranges_text(ranges: Column, between: str = "|") -> Column:
     """``partition:min:max:count`` of each range, in partition order."""
     return F.array_join(
         F.transform(
-            F.array_sort(ranges),
+            F.sort_array(ranges),
             lambda r: F.concat_ws(":", r["partition"], r["offsetMin"], r["offsetMax"], r["recordCount"]),
         ),
         between,
@@ -190,7 +194,7 @@ def label_or_unknown(value: Column) -> Column:
 
 
 def sorted_labels(labels: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(labels)))
+    return F.map_from_entries(F.sort_array(F.map_entries(labels)))
 
 
 def labels_key(labels: Column) -> Column:
@@ -209,7 +213,7 @@ def _quoted(text: Column) -> Column:
 
 def series_name(labels: Column, index: Column | None = None) -> Column:
     """Sorted-key JSON of the labels as the CSV export spells it, or ``series_<index>`` when empty."""
-    entries = F.array_sort(F.map_entries(labels))
+    entries = F.sort_array(F.map_entries(labels))
     pairs = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(": "), _quoted(e["value"])))
     text = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
     position = F.lit(0) if index is None else index

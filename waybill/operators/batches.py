@@ -32,7 +32,7 @@ def batch_reads(
     """
     ranges = partition_ranges(records, batch_cols)
     batches = ranges.groupBy(*batch_cols, "topic").agg(
-        F.array_sort(F.collect_list(F.struct("partition", "offsetMin", "offsetMax", "recordCount")))
+        F.sort_array(F.collect_list(F.struct("partition", "offsetMin", "offsetMax", "recordCount")))
         .cast(RANGES)
         .alias("partitionRanges"),
         F.sum("recordCount").cast("int").alias("recordCount"),

@@ -16,7 +16,7 @@ so a task that is run again sees the same segments.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
@@ -37,14 +37,17 @@ class Ordered:
         order: Sequence[str],
         hot_rows: int | None = HOT_ROWS,
         fraction: float = SAMPLE_FRACTION,
+        sampler: Callable[[float], DataFrame] | None = None,
     ):
+        """``sampler`` gives a sample of ``df`` when sampling its source is cheaper than sampling ``df``."""
         self.keys = list(keys)
         self.order = list(order)
         cuts = None
         if hot_rows is not None:
             # Few rows per segment means small data, where a thin sample would see nothing.
             fraction = min(1.0, max(fraction, 200.0 / hot_rows))
-            cuts = _cut_points(df, self.keys, self.order, hot_rows, fraction)
+            sampler = sampler or (lambda share: df.sample(share, seed=17) if share < 1.0 else df)
+            cuts = _cut_points(sampler, self.keys, self.order, hot_rows, fraction)
         self.split = cuts is not None
         self.rows = _tag(df, cuts, self.keys, self.order) if self.split else df.withColumn(SEG, F.lit(_WHOLE))
 
@@ -90,8 +93,8 @@ class Ordered:
         return self.segments().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _cut_points(df, keys, order, hot_rows, fraction):
-    picked = df.select(*keys).sample(fraction, seed=17) if fraction < 1.0 else df.select(*keys)
+def _cut_points(sampler, keys, order, hot_rows, fraction):
+    picked = sampler(fraction)
     hot = (
         picked.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -102,15 +105,13 @@ def _cut_points(df, keys, order, hot_rows, fraction):
     )
     if not hot:
         return None
-    spark = df.sparkSession
+    spark = picked.sparkSession
     hot_total = sum(r["_n"] for r in hot) / fraction
     pieces = min(MAX_SEGMENTS, math.ceil(hot_total / hot_rows) + 1)
-    hot_keys = spark.createDataFrame([r[:-1] for r in hot], df.select(*keys).schema)
+    hot_keys = spark.createDataFrame([r[:-1] for r in hot], picked.select(*keys).schema)
     # A few hundred sampled rows per segment are enough to place its edges.
     keep = min(1.0, 500.0 * pieces / hot_total)
-    narrow = df.select(*keys, *[c for c in order if c not in keys])
-    if keep < 1.0:
-        narrow = narrow.sample(keep, seed=23)
+    narrow = sampler(keep).select(*keys, *[c for c in order if c not in keys])
     hot_keys = hot_keys.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
     same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     edges = (
@@ -128,8 +129,8 @@ def _cut_points(df, keys, order, hot_rows, fraction):
     for key, starts in by_key.items():
         bounds = [None, *starts, None]
         rows += [(*key, i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)]
-    fields = df.select(*keys).schema.fields
-    at = T.StructType(df.select(*order).schema.fields)
+    fields = picked.select(*keys).schema.fields
+    at = T.StructType(picked.select(*order).schema.fields)
     schema = T.StructType([
         *fields,
         T.StructField(SEG, T.IntegerType()),

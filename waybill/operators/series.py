@@ -129,7 +129,10 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     extrapolated to the window's edges.
     """
     slices = _Slices(grid, micros(window))
-    ordered = Ordered(slices.cut(samples), ["metric", "_key", "_slice"], ["_t", "value"], **split)
+    ordered = Ordered(
+        slices.cut(samples), ["metric", "_key", "_slice"], ["_t", "value"], **split,
+        sampler=lambda share: slices.cut(samples.sample(share, seed=17) if share < 1.0 else samples),
+    )
     within = ordered.window
     rows = ordered.rows.withColumns({"_prev": F.lag("value").over(within), "_next": F.lead("value").over(within)})
     # The first and last values are picked by flags so that the aggregation stays hash based.
@@ -146,24 +149,22 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     })
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("_lost", F.sum(F.col("_between") + F.col("_inner")).over(upto))
-    none = F.lit(None).cast("double")
-    slice_ = F.col("_slice")
-
-    def mark(i: Column, opens: bool) -> Column:
-        value, lost = (F.col("_first"), F.col("_lost") - F.col("_inner")) if opens else (F.col("_last"), F.col("_lost"))
-        ends = {"v0": value if opens else none, "r0": lost if opens else none,
-                "v1": none if opens else value, "r1": none if opens else lost}
-        return F.struct(i.alias("i"), *[c.alias(n) for n, c in ends.items()])
-
-    marks = F.concat(
-        F.transform(slices.opened_by(slice_, F.col("_before")), lambda i: mark(i, True)),
-        F.transform(slices.closed_by(slice_, F.col("_after")), lambda i: mark(i, False)),
-    )
+    opened = slices.opened_by(F.col("_slice"), F.col("_before"))
+    closed = slices.closed_by(F.col("_slice"), F.col("_after"))
+    marks = pieces.select(
+        "metric", "_key", "_first", "_last", "_lost", "_inner", F.posexplode(F.array(opened, closed)).alias("_closes", "_points")
+    ).select("*", F.explode("_points").alias("i"))
+    opens, closes = F.col("_closes") == 0, F.col("_closes") == 1
+
+    def end(test: Column, value: Column) -> Column:
+        return F.max(F.when(test, value))
+
     # Still partitioned by series, so this grouping does not shuffle. Values and losses are
     # subtracted apart: a counter that never restarts gives the exact difference.
-    ends = pieces.select("metric", "_key", F.explode(marks).alias("m")).groupBy("metric", "_key", "m.i").agg(
-        ((F.max("m.v1") - F.max("m.v0")) + (F.max("m.r1") - F.max("m.r0"))).alias("value")
-    )
+    ends = marks.groupBy("metric", "_key", "i").agg((
+        (end(closes, F.col("_last")) - end(opens, F.col("_first")))
+        + (end(closes, F.col("_lost")) - end(opens, F.col("_lost") - F.col("_inner")))
+    ).alias("value"))
     return ends.select("metric", C.labels_from_key(F.col("_key")).alias("labels"), grid.at(F.col("i")).alias("ts"), "value")
 
 

@@ -108,13 +108,6 @@ class Evaluation:
         self.keep = keep
         self._kept: dict[str, DataFrame] = {}
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if not self.keep:
-            return build()
-        if name not in self._kept:
-            self._kept[name] = cut_lineage(build())
-        return self._kept[name]
-
     def _evaluated(self, name: str, metrics: tuple[str, ...], evaluate_: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """All metrics of one kind in one pass; a later filter on metric or labels moves below it."""
         if name not in self._kept:
@@ -141,7 +134,7 @@ class Evaluation:
         return self._pick(held, metric, eq)
 
     def rule(self, name: str) -> DataFrame:
-        return self._once(f"rule {name}", lambda: RULES[name](self))
+        return RULES[name](self)
 
     def over(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Divide by a series without labels."""

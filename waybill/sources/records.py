@@ -66,10 +66,10 @@ def only_topic(records: DataFrame, topic: str) -> DataFrame:
 
 
 def _split(df: DataFrame, col: str, parsed: Column, carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    both = df.withColumn("_parsed", parsed)
-    good = both.where(F.col("_parsed").isNotNull()).select("_parsed.*", *carry)
-    bad = both.where(F.col("_parsed").isNull()).drop("_parsed")
-    return good, bad
+    # A row explodes into its parsed form or into nothing, so each text is parsed once; a filter on the
+    # parsed column would be moved below the projection and parse it a second time.
+    good = df.select(F.explode(F.array_compact(F.array(parsed))).alias("_parsed"), *carry).select("_parsed.*", *carry)
+    return good, df.where(parsed.isNull())
 
 
 def parse_audit(df: DataFrame, col: str = "value", carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # while the entry is armed.
 _STATE = (
     "grp string, topic string, first bigint, last bigint, timed_out bigint, records int, replays int, timeouts int, "
-    "ranges string"
+    "ranges string, timer bigint"
 )
 _OUT = (
     "eventId string, outcome string, consumerGroup string, sourceTopic string, first bigint, last bigint, observed bigint, "
@@ -65,22 +65,24 @@ class LifecycleProcessor(StatefulProcessor):
             entry["timeouts"] += 1
             yield self._outcome(key, ESTIMATED_FAILED, entry, due)
 
-    def _settle(self, entry: dict | None) -> None:
-        """Store the entry and leave exactly one timer for it."""
-        for timer in list(self.handle.listTimers()):
+    def _settle(self, entry: dict | None, timer: int | None) -> None:
+        """Store the entry and move its only timer (``timer``, if set) to where it is due now."""
+        due = None if entry is None else self._due(entry)
+        # Timers count milliseconds; rounding up keeps a timer from firing before its tick.
+        due = None if due is None else -(-due // 1000)
+        if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
-        if entry is None:
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if entry is not None:
+            self.entry.update(tuple((entry | {"timer": due}).values()))
+        elif self.entry.exists():
             self.entry.clear()
-            return
-        self.entry.update(tuple(entry.values()))
-        due = self._due(entry)
-        if due is not None:
-            # Timers count milliseconds; rounding up keeps a timer from firing before its tick.
-            self.handle.registerTimer(-(-due // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         name = key[0]
         entry = self._load()
+        timer = entry["timer"] if entry else None
         # A key's rows of one micro-batch come in any order; the source's batch bound limits them.
         for row in sorted(rows, key=lambda r: (r["_us"], r["_seq"])):
             at = row["_us"]
@@ -89,7 +91,7 @@ class LifecycleProcessor(StatefulProcessor):
             if row["stage"] == BATCH_READ:
                 if entry is None:
                     entry = {"grp": row["consumerGroup"], "topic": row["sourceTopic"], "first": at, "last": at,
-                             "timed_out": None, "records": 0, "replays": 0, "timeouts": 0, "ranges": None}
+                             "timed_out": None, "records": 0, "replays": 0, "timeouts": 0, "ranges": None, "timer": None}
                 else:
                     entry["replays"] += 1
                     yield self._outcome(name, REPLAY_OBSERVED, entry, at)
@@ -98,7 +100,7 @@ class LifecycleProcessor(StatefulProcessor):
                 entry["last"] = at
                 yield self._outcome(name, LATE_COMMIT if entry["timeouts"] else COMMITTED, entry, at)
                 entry = None
-        self._settle(entry)
+        self._settle(entry, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         entry = self._load()
@@ -115,7 +117,8 @@ class LifecycleProcessor(StatefulProcessor):
             entry["timed_out"] = now - now % self.tick_us
             entry["timeouts"] += 1
             yield self._outcome(key[0], ESTIMATED_FAILED, entry, entry["timed_out"])
-        self._settle(entry)
+        # The timer that fired is gone.
+        self._settle(entry, None)
 
     def close(self) -> None:
         pass
