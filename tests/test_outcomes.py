@@ -131,3 +131,12 @@ def test_interval_join_matches_brute_force(spark):
         out = R.interval_join(points, spans, ["k"], F.col("p"), F.col("lo"), F.col("hi"), 7, rows)
         got = [(r["p"], r["lo"]) for r in out.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_observed_totals(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("outcomes")
+    rows = outcome(spark, ("COMMITTED", "g", "t", 1, 0, 0, ()), ("LATE_COMMIT", "g", "t", 1, 0, 1, ()), ("COMMITTED", "g", "t", 1, 0, 0, ()))
+    assert O.observed(rows, seen).count() == 3
+    assert seen.get == {"replays": 0, "estimatedFailed": 0, "lateCommits": 1, "committed": 2}

@@ -8,6 +8,7 @@ from tests.helpers import at, audit_rows
 from tests.test_lifecycle import random_logs
 from waybill.operators.lifecycle import lifecycle_batch
 from waybill.operators.outcomes import outcome_counters
+from waybill.operators.reconcile import sink_stats
 from waybill.schemas import OUTCOME, RECORD, SAMPLE
 from waybill.sinks import tables as T
 from waybill.sinks.topics import AUDIT_PRODUCER, TopicSpec, publish, publish_stream
@@ -144,7 +145,8 @@ def test_sink_stream_survives_a_failed_write(spark, tmp_path, monkeypatch):
 
     def run():
         stream = src.read_records(spark, spec, streaming=True)
-        stream_sinks.run_sink_stream(stream, sink, str(tmp_path / "ck"), NOW, trail).awaitTermination()
+        stream_sinks.run_sink_stream(
+            stream, sink, str(tmp_path / "ck"), NOW, trail, write_log=str(tmp_path / "log")).awaitTermination()
 
     def events():
         good, _ = src.parse_audit(spark.read.parquet(trail.path))
@@ -171,6 +173,8 @@ def test_sink_stream_survives_a_failed_write(spark, tmp_path, monkeypatch):
     assert T.read_appended(spark, sink).count() == 15
     # The repeated batch has the fingerprint it had, so the trail still holds one read of it.
     assert events() == {("BATCH_READ", 2), ("OFFSET_COMMITTED", 2)}
+    stats = sink_stats(spark.read.parquet(str(tmp_path / "log")), *[F.current_timestamp()] * 3).first()
+    assert (stats["total_consumed"], stats["total_written"], stats["write_errors"]) == (20, 15, 1)
 
 
 def test_drain(spark, tmp_path):

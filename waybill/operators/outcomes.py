@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from waybill.functions.columns import label_or_unknown
-from waybill.schemas import BATCH_READ, ESTIMATED_FAILED, LATE_COMMIT, OUTCOMES, REPLAY_OBSERVED
+from waybill.schemas import BATCH_READ, COMMITTED, ESTIMATED_FAILED, LATE_COMMIT, OUTCOMES, REPLAY_OBSERVED
 
 _LABELS = ("outcome", "consumer_group", "source_topic", "partition")
 
@@ -146,3 +146,16 @@ def export_totals(counts: DataFrame) -> DataFrame:
         for o in OUTCOMES
     ]
     return counts.agg(*each, total(F.col("metric") == "audit_batches_seen_total", "audit_batches_seen_total"))
+
+
+def observed(outcomes: DataFrame, name: str | Observation = "outcomes") -> DataFrame:
+    """The same rows, with the lifecycle totals reported as they pass.
+
+    On a stream they appear under ``name`` in each progress report, in batch through an ``Observation``.
+    """
+    totals = {
+        REPLAY_OBSERVED: "replays", ESTIMATED_FAILED: "estimatedFailed", LATE_COMMIT: "lateCommits", COMMITTED: "committed",
+    }
+    return outcomes.observe(
+        name, *[F.count(F.when(F.col("outcome") == o, 1)).alias(label) for o, label in totals.items()]
+    )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waybill.operators.reconcile import interval_join
-from waybill.session import BROADCAST_ROWS, broadcast_if_small
+from waybill.session import BROADCAST_ROWS
 
 
 def measured_window(samples: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -54,12 +54,12 @@ def run_means(tagged: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
 def subtract_idle(means: DataFrame, idle_run: str, by: Sequence[str] = ("metric",)) -> DataFrame:
     """Each run's mean less the idle run's: the marginal cost of the run.
 
-    The idle side has one row per metric; it is broadcast only when counted small.
+    One pass over the means, which have one row per run and metric; metrics the idle run lacks are dropped.
     """
-    idle = means.where(F.col("run_label") == idle_run).select(*by, F.col("mean").alias("idle_mean"))
+    idle = F.max(F.when(F.col("run_label") == idle_run, F.col("mean"))).over(Window.partitionBy(*by))
     return (
-        means.where(F.col("run_label") != idle_run)
-        .join(broadcast_if_small(idle), list(by))
+        means.withColumn("idle_mean", idle)
+        .where((F.col("run_label") != idle_run) & F.col("idle_mean").isNotNull())
         .withColumn("marginal", F.col("mean") - F.col("idle_mean"))
     )
 

@@ -21,25 +21,34 @@ def run_sink_stream(
     trigger: dict | None = None,
     audit: TopicSpec | None = None,
     group: str = "perf-group",
+    write_log: str | None = None,
 ) -> StreamingQuery:
     """Write each micro-batch to the sink; its offsets count as read only after the write returned.
 
     A write that fails for good stops the query, and the next start repeats the same batch. Row ids
     are deterministic and each batch replaces its own files, so the repeat leaves no duplicates.
     With ``audit`` a read event is published before the write and a commit event after it. The
-    fingerprint of a repeated batch is the same, which is how a replay is recognised.
+    fingerprint of a repeated batch is the same, which is how a replay is recognised. With
+    ``write_log`` every try adds a row that ``sink_stats`` understands.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = to_sink_rows(batch, deterministic_id=True, created_at=F.col("timestamp"))
-        if audit is None:
+        if audit is None and write_log is None:
             write_sink(rows, sink, batch_id)
             return
         batch.persist()
         try:
-            reads = batch_reads(batch.withColumn("_batch", F.lit(batch_id)), ["_batch"], group, F.current_timestamp())
-            _publish(reads, audit, batch_id, "read")
-            write_sink(rows, sink, batch_id)
-            _publish(commit_events(reads, F.current_timestamp()), audit, batch_id, "commit")
+            if audit is not None:
+                reads = batch_reads(batch.withColumn("_batch", F.lit(batch_id)), ["_batch"], group, F.current_timestamp())
+                _publish(reads, audit, batch_id, "read")
+            try:
+                write_sink(rows, sink, batch_id)
+            except Exception:
+                _log(batch, write_log, failed=True)
+                raise
+            _log(batch, write_log, failed=False)
+            if audit is not None:
+                _publish(commit_events(reads, F.current_timestamp()), audit, batch_id, "commit")
         finally:
             batch.unpersist()
 
@@ -51,6 +60,17 @@ def run_sink_stream(
     )
 
 
+def _log(batch: DataFrame, path: str | None, failed: bool) -> None:
+    if path is None:
+        return
+    count = F.count(F.lit(1))
+    row = batch.agg(
+        F.current_timestamp().alias("at"), count.alias("consumed"), (F.lit(0).cast("bigint") if failed else count).alias("written"),
+        F.lit(int(failed)).alias("failed"), F.lit(0).alias("partial"),
+    )
+    row.write.mode("append").parquet(path)
+
+
 def _publish(events: DataFrame, target: TopicSpec, batch_id: int, step: str) -> None:
     out = keyed(events, "eventId", audit_json()).write.format(target.format).options(**target.writer_options())
     if target.format == "kafka":
