@@ -142,12 +142,22 @@ def ensure_sink_table(spark: SparkSession, table: str, location: str | None = No
 
 # --- database statements --------------------------------------------------------------------------
 
+# The columns of the sink table in the database.
+_DATABASE_COLUMNS = {
+    "id": "SERIAL PRIMARY KEY",
+    "event_id": "VARCHAR(64)",
+    "kafka_topic": "TEXT",
+    "kafka_partition": "INT",
+    "kafka_offset": "BIGINT",
+    "payload": "TEXT",
+    "created_at": "TIMESTAMP DEFAULT now()",
+}
+
+
 def sink_ddl(table: str, unique: bool = True) -> list[str]:
     """Statements that create the sink table and, if asked, its unique key."""
-    out = [
-        f"CREATE TABLE IF NOT EXISTS {table} (id SERIAL PRIMARY KEY, event_id VARCHAR(64), kafka_topic TEXT, "
-        "kafka_partition INT, kafka_offset BIGINT, payload TEXT, created_at TIMESTAMP DEFAULT now())"
-    ]
+    columns = ", ".join(f"{name} {kind}" for name, kind in _DATABASE_COLUMNS.items())
+    out = [f"CREATE TABLE IF NOT EXISTS {table} ({columns})"]
     if unique:
         out.append(f"CREATE UNIQUE INDEX IF NOT EXISTS {table}_place ON {table} ({', '.join(SINK_KEY)})")
     return out
