@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waybill.llm import bpe, decontam, lines, ngram_join, pii, quality, ring, secrets, substring, toxicity
 from waybill.llm.common import table
+from waybill.llm.oracle import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(function):
