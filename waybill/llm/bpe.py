@@ -12,6 +12,7 @@ give equal results, an empty table an empty one. Memory per worker: the vocabula
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import heapq
 import json
@@ -169,22 +170,26 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` with ``ids`` array<int>, ``n_tokens`` and ``ids_sha256`` of the text, and ``decoded`` again from the ids.
+def encode(df: DataFrame, path: str, text: str = "text", packed: bool = False) -> DataFrame:
+    """``df`` with ``ids`` of the text, ``n_tokens``, ``ids_sha256``, and ``decoded_sha256`` of the text decoded again from the ids.
 
-    ``path`` names a byte-level tokenizer file. Special tokens written out in a text become their id.
+    ``path`` names a byte-level tokenizer file. Special tokens written out in a text become their id. ``ids`` is array<int>, or
+    with ``packed`` the base-64 text of little-endian unsigned 32-bit integers.
     """
     shared = _shared(df, path)
     fields = T.StructType([
-        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.StringType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def compute(texts: pa.Array) -> list:
         vocab = vocabulary(shared.value)
-        packed = [vocab.encode(t.as_py()) for t in texts]
-        flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
-        edges = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(edges), flat), *_digests(vocab, packed)]
+        coded = [vocab.encode(t.as_py()) for t in texts]
+        if packed:
+            ids = pa.array([base64.b64encode(p).decode() for p in coded], pa.string())
+        else:
+            edges = np.concatenate([[0], np.cumsum([len(p) // 4 for p in coded])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+        return [ids, *_digests(vocab, coded)]
 
     return append_columns(df, fields, compute, text)
 

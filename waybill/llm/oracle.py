@@ -49,7 +49,7 @@ FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_quality_rules": rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 win AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
   FROM (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM d, unnest(range(1, greatest(len(ws) - 1, 1))) AS t(i))),
