@@ -1,4 +1,5 @@
 import time
+from dataclasses import replace
 from functools import reduce
 
 import pytest
@@ -75,10 +76,20 @@ def test_file_upsert_generations(spark, tmp_path):
     T.write_sink(sink_rows(spark, [3, 5], "w"), target, 1)  # the same batch again
     want = {0: "v0", 1: "v1", 2: "v2", 3: "w3", 4: "v4", 5: "w5"}
     assert payloads(T.read_upserted(spark, target)) == want
-    small = T.compact_sink(spark, target, str(tmp_path / "c"))
-    assert payloads(T.read_upserted(spark, small)) == want and T.read_appended(spark, small).count() == 6
-    T.write_sink(sink_rows(spark, [0], "x"), small, 2)
-    assert payloads(T.read_upserted(spark, small)) == want | {0: "x0"}
+    T.compact_sink(spark, target)
+    assert payloads(T.read_upserted(spark, target)) == want
+    T.write_sink(sink_rows(spark, range(5)), target, 0)  # folded batches, repeated, change nothing
+    T.write_sink(sink_rows(spark, [3, 5], "w"), target, 1)
+    assert payloads(T.read_upserted(spark, target)) == want
+    T.write_sink(sink_rows(spark, [0], "x"), target, 2)
+    T.compact_sink(spark, target)
+    assert payloads(T.read_upserted(spark, target)) == want | {0: "x0"}
+    # A later run counts its batches from 0 again and is newer all the same.
+    T.write_sink(sink_rows(spark, [1], "y"), replace(target, run=7), 0)
+    assert payloads(T.read_upserted(spark, target)) == want | {0: "x0", 1: "y1"}
+    T.compact_sink(spark, target)
+    T.write_sink(sink_rows(spark, [3, 5], "w"), target, 1)
+    assert payloads(T.read_upserted(spark, target)) == want | {0: "x0", 1: "y1"}
     with pytest.raises(ValueError):
         T.upsert_sink(sink_rows(spark, [1]), target)
 
@@ -88,6 +99,13 @@ def test_file_append(spark, tmp_path):
     for batch in (0, 0, 1):
         T.write_sink(sink_rows(spark, range(3)), target, batch)
     assert T.read_appended(spark, target).count() == 6
+    T.compact_sink(spark, target)
+    for batch in (0, 1):
+        T.write_sink(sink_rows(spark, range(3)), target, batch)
+    assert T.read_appended(spark, target).count() == 6
+    T.write_sink(sink_rows(spark, range(3)), replace(target, run=1), 0)
+    assert T.read_appended(spark, target).count() == 9
+    assert T.read_appended(spark, T.SinkSpec(path=str(tmp_path / "none"))).count() == 0
     plain = T.SinkSpec(path=str(tmp_path / "p"))
     for _ in range(2):
         T.append_sink(sink_rows(spark, range(3)), plain)
@@ -127,6 +145,42 @@ def test_database_statements():
     assert con.execute("SELECT payload, count(*) OVER () FROM s").fetchall() == [("q", 1)]
 
 
+def test_append_statements_add_a_batch_once():
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (event_id VARCHAR, kafka_topic VARCHAR, kafka_partition INT, kafka_offset BIGINT, payload VARCHAR, created_at TIMESTAMP)")
+    con.execute("CREATE TABLE st AS SELECT 'a' AS event_id, 't' AS kafka_topic, 0 AS kafka_partition, 1 AS kafka_offset, 'p' AS payload, now()::TIMESTAMP AS created_at")
+    for run, batch in ((1, 0), (1, 0), (2, 0), (1, 1), (2, 0)):
+        for statement in T.append_statements("s", "st", run, batch):
+            con.execute(statement)
+    assert con.execute("SELECT count(*) FROM s").fetchone() == (3,)
+
+
+def test_a_failing_publication_leaves_the_sink_whole(spark, tmp_path, caplog):
+    records(spark, range(10)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = src.read_records(spark, src.SourceSpec(format="parquet", topic="t", path=str(tmp_path / "in")), streaming=True)
+    sink = T.SinkSpec(path=str(tmp_path / "sink"))
+    broken = TopicSpec(format="no-such-format", path=str(tmp_path / "audit"))
+    stream_sinks.run_sink_stream(stream, sink, str(tmp_path / "ck"), NOW, broken, write_log=str(tmp_path / "log")).awaitTermination()
+    assert T.read_appended(spark, sink).count() == 10
+    assert "was not published" in caplog.text
+
+
+def test_shared_folder_is_needed_off_this_machine(spark, monkeypatch):
+    from waybill import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster)
+
+
 def test_publish_files(spark, tmp_path):
     target = TopicSpec(format="json", path=str(tmp_path / "t"))
     publish(audit_rows(spark, "e", [("R", 0), ("C", 1)]), target, "eventId", C.audit_json())
@@ -198,7 +252,7 @@ def test_streamed_counters_equal_batch(spark, tmp_path):
     def flat(df):
         return {(r["metric"], tuple(sorted(r["labels"].items())), r["value"]) for r in df.collect()}
 
-    assert flat(spark.read.parquet(str(tmp_path / "out"))) == flat(outcome_counters(parts[0].unionByName(parts[1])))
+    assert flat(stream_sinks.read_counters(spark, str(tmp_path / "out"))) == flat(outcome_counters(parts[0].unionByName(parts[1])))
 
 
 def test_streamed_lifecycle_equals_batch(spark, tmp_path):

@@ -21,7 +21,7 @@ from waybill.operators import runs
 from waybill.operators import series as S
 from waybill.plans import rules, views as V
 from waybill.schemas import BATCH_READ, OFFSET_COMMITTED
-from waybill.session import cut_lineage, scratch_path
+from waybill.session import cut_lineage, run_of, scratch_path
 from waybill.sinks import export, tables as T
 from waybill.sinks.topics import TopicSpec, publish
 from waybill.sources import records as src
@@ -142,7 +142,7 @@ def outcome_counters_streamed(spark, sf_dir):
     stream = spark.readStream.schema("key string, value string").parquet(source)
     good, _ = src.parse_outcomes(stream)
     stream_sinks.run_counters(good, table, scratch_path(spark, "state"), {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(table).select("metric", C.labels_key(F.col("labels")).alias("labels"), F.col("value").cast("bigint").alias("value"))
+    return stream_sinks.read_counters(spark, table).select("metric", C.labels_key(F.col("labels")).alias("labels"), F.col("value").cast("bigint").alias("value"))
 
 
 @query
@@ -406,7 +406,62 @@ def sink_upsert_files(spark, sf_dir):
     rows = V.sink_rows(spark, sf_dir)
     T.write_sink(rows, target, batch_id=0)
     T.write_sink(rows.where(F.col("kafka_offset") % 5 == 0).withColumn("payload", F.lit("patched")), target, batch_id=1)
-    return T.read_upserted(spark, T.compact_sink(spark, target, scratch_path(spark, "compacted")))
+    T.compact_sink(spark, target)
+    return T.read_upserted(spark, target)
+
+
+@query
+def sink_compact_repeat(spark, sf_dir):
+    """Three generations, compaction, a repeat of each batch, one more generation and compaction again."""
+    target = T.SinkSpec(path=scratch_path(spark, "upsert"), mode="upsert")
+    rows = V.sink_rows(spark, sf_dir)
+
+    def write(batch_id: int) -> None:
+        chosen = rows.where(F.col("kafka_offset") % (batch_id + 1) == 0)
+        T.write_sink(chosen.withColumn("payload", F.concat(F.lit(f"g{batch_id}-"), "payload")), target, batch_id)
+
+    for batch_id in range(3):
+        write(batch_id)
+    T.compact_sink(spark, target)
+    for batch_id in range(4):
+        write(batch_id)
+    T.compact_sink(spark, target)
+    write(3)
+    return T.read_upserted(spark, target)
+
+
+@query
+def sink_two_streams(spark, sf_dir):
+    """Two streams with checkpoints of their own write to one append sink: the second adds to the first."""
+    sink = T.SinkSpec(path=scratch_path(spark, "append"))
+    for rest in (0, 1):
+        stream = V.records_of(_event_stream(spark, sf_dir)).where(F.col("offset") % 3 == rest)
+        stream_sinks.run_sink_stream(stream, sink, scratch_path(spark, "state"), {"availableNow": True}).awaitTermination()
+    return T.read_appended(spark, sink).groupBy("kafka_topic", "kafka_partition").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("kafka_offset").alias("offset_sum"))
+
+
+@query
+def sink_streamed_restart(spark, sf_dir):
+    """A stream over four files stops after two batches, fails in the middle of a write, and goes on where it was."""
+    source, state = scratch_path(spark, "records"), scratch_path(spark, "state")
+    sink, log = T.SinkSpec(path=scratch_path(spark, "sink"), mode="upsert"), scratch_path(spark, "log")
+    recs = V.records(spark, sf_dir)
+
+    def run(*quarters: int, breaks: bool = False) -> None:
+        for q in quarters:
+            recs.where(F.col("offset") % 4 == q).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        if breaks:
+            # The write of half a batch is what a crash leaves behind.
+            half = T.to_sink_rows(recs.where("offset % 8 = 2"), deterministic_id=True, created_at=F.col("timestamp"))
+            T.write_sink(half, replace(sink, run=run_of(spark, state)), 2)
+        stream_sinks.run_sink_stream(stream, sink, state, {"availableNow": True}, write_log=log).awaitTermination()
+
+    run(0, 1)
+    run(2, breaks=True)
+    run(3)
+    return T.read_upserted(spark, sink).select("event_id", "kafka_partition", "kafka_offset", "payload")
 
 
 @query
@@ -427,14 +482,16 @@ def sink_streamed(spark, sf_dir):
     trail = TopicSpec(format="parquet", path=scratch_path(spark, "audit"))
     stream = V.records_of(_event_stream(spark, sf_dir))
     stream_sinks.run_sink_stream(stream, sink, scratch_path(spark, "state"), {"availableNow": True}, trail).awaitTermination()
-    stored = T.read_upserted(spark, sink).agg(
-        F.count(F.lit(1)).alias("stored"), F.sum("kafka_offset").alias("offset_sum"))
     events, _ = src.parse_audit(spark.read.parquet(trail.path))
-    audited = events.agg(
-        F.sum("recordCount").alias("audited"),
-        F.sum((F.col("stage") == BATCH_READ).cast("bigint")).alias("reads"),
-        F.sum((F.col("stage") == OFFSET_COMMITTED).cast("bigint")).alias("commits"))
-    return stored.crossJoin(audited)
+    stored = T.read_upserted(spark, sink).select("kafka_offset", F.lit(None).cast("int").alias("recordCount"), F.lit("STORED").alias("stage"))
+    both = stored.unionByName(events.select(F.lit(None).cast("bigint").alias("kafka_offset"), "recordCount", "stage"))
+
+    def count(stage: str, name: str):
+        return F.sum((F.col("stage") == stage).cast("bigint")).alias(name)
+
+    return both.agg(
+        count("STORED", "stored"), F.sum("kafka_offset").alias("offset_sum"), F.sum("recordCount").alias("audited"),
+        count(BATCH_READ, "reads"), count(OFFSET_COMMITTED, "commits"))
 
 
 @query

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _UNIT_US = {
@@ -23,12 +25,18 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, or a temporary one in local tests."""
+    """Folder every executor can reach: the cluster's setting, or a temporary one where all runs on this machine.
+
+    On a cluster without the setting this raises: each executor would write to a disk of its own and
+    readers would see a part of the data.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waybill-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -50,6 +58,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return True
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The largest N for which ``path`` holds a complete table ``version=N``."""
+    if not written(spark, path):
+        return None
+    # Files get their final place when the whole write commits; what tasks are still writing is not listed.
+    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    found = done.select("version").distinct().orderBy(F.desc("version")).first() if "version" in done.columns else None
+    return None if found is None else int(found[0])
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> int:
+    """The run a checkpoint stands for: when it was first used, in milliseconds; written beside its progress once."""
+    place = f"{checkpoint}/waybill-run"
+    if written(spark, place):
+        found = spark.read.schema("run long").parquet(place).first()
+        if found:
+            return found[0]
+    run = time.time_ns() // 1_000_000
+    spark.createDataFrame([(run,)], "run long").coalesce(1).write.mode("overwrite").parquet(place)
+    return run
+
+
 def micros(duration: str | int) -> int:
     """Length of a duration in microseconds: ``"90 seconds"``, ``"5m"``, or a number of seconds."""
     if isinstance(duration, int):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from waybill.functions.columns import sink_event_id
 from waybill.operators.reconcile import sink_duplicates
 from waybill.schemas import SINK_KEY, SINK_ROW
+from waybill.session import newest_version, written
 from waybill.sources.records import check_sink, only_topic
 
 
@@ -18,7 +19,9 @@ class SinkSpec:
     """Where rows go: a file format with ``path``, or ``jdbc`` with ``url`` and ``table``.
 
     ``mode`` is ``append`` (every delivery is kept) or ``upsert`` (one row per key).
-    ``connections`` bounds the tasks that write to a database at the same time.
+    ``connections`` bounds the tasks that write to a database at the same time. ``run`` tells
+    the life of one checkpoint from another: a stream that starts on a new checkpoint counts its batches from 0
+    again, so (run, batch id) identifies a batch and orders it.
     """
 
     format: str = "parquet"
@@ -29,6 +32,7 @@ class SinkSpec:
     batch_size: int = 200
     connections: int = 10
     options: dict[str, str] = field(default_factory=dict)
+    run: int = 0
 
 
 def to_sink_rows(
@@ -72,8 +76,10 @@ def write_sink(rows: DataFrame, target: SinkSpec, batch_id: int | None = None) -
 
 
 def append_sink(rows: DataFrame, target: SinkSpec, batch_id: int | None = None) -> None:
-    """Add rows. With a batch id the files of an earlier try of that batch are replaced."""
-    if target.format == "jdbc":
+    """Add rows. With a batch id the files, or the rows, of an earlier try of that batch are replaced."""
+    if target.format == "jdbc" and batch_id is not None:
+        _through_stage(rows, target, batch_id, lambda stage: append_statements(target.table, stage, target.run, batch_id))
+    elif target.format == "jdbc":
         _jdbc(rows, target, target.table).mode("append").save()
     elif batch_id is None:
         rows.write.format(target.format).options(**target.options).mode("append").save(target.path)
@@ -89,12 +95,12 @@ def upsert_sink(
 
     Files: the batch, reduced to the last row per key, becomes one more generation next to the earlier
     ones, so a write costs the size of the batch and not of the table; ``read_upserted`` picks the
-    newest generation per key and ``compact_sink`` folds generations together. A repeated batch id
+    newest generation per key and ``compact_sink`` folds generations into a base. A repeated batch
     replaces its own files. Database: rows go to a staging table, then one statement merges them.
     """
     once = latest(rows, keys, order)
     if target.format == "jdbc":
-        _merge_through_stage(once, target, keys, batch_id)
+        _through_stage(once, target, batch_id, lambda stage: [merge_statement(target.table, stage, keys)])
         return
     if batch_id is None:
         raise ValueError("a file upsert needs a batch id to order its generations")
@@ -102,30 +108,63 @@ def upsert_sink(
 
 
 def _write_batch(rows: DataFrame, target: SinkSpec, batch_id: int) -> None:
-    rows.write.format(target.format).options(**target.options).mode("overwrite").save(f"{target.path}/batch_id={batch_id}")
+    place = f"{target.path}/generations/run={target.run}/batch_id={batch_id}"
+    rows.write.format(target.format).options(**target.options).mode("overwrite").save(place)
+
+
+_PLACE = ["run", "batch_id"]
 
 
-def _generations(spark: SparkSession, target: SinkSpec) -> DataFrame:
-    schema = SINK_ROW.simpleString()[len("struct<"):-1].replace(":", " ") + ", batch_id bigint"
-    return spark.read.format(target.format).options(**target.options).schema(schema).load(target.path)
+def _load(spark: SparkSession, target: SinkSpec, place: str) -> DataFrame:
+    schema = SINK_ROW.simpleString()[len("struct<"):-1].replace(":", " ") + ", run bigint, batch_id bigint"
+    if not written(spark, place):
+        return spark.createDataFrame([], schema)
+    return spark.read.format(target.format).options(**target.options).schema(schema).load(place)
+
+
+def _rows(spark: SparkSession, target: SinkSpec) -> tuple[DataFrame, DataFrame, dict[int, int], int]:
+    """The base, the generations that are not in it, up to which batch each run is in it, and its version."""
+    version = newest_version(spark, f"{target.path}/manifest")
+    live = _load(spark, target, f"{target.path}/generations")
+    if version is None:
+        return live.limit(0), live, {}, -1
+    # One row for each run, that is for each checkpoint the sink has ever had.
+    folded = dict(spark.read.schema("run long, upto long").parquet(f"{target.path}/manifest/version={version}").collect())
+    for run, upto in folded.items():
+        live = live.where((F.col("run") != run) | (F.col("batch_id") > upto))
+    return _load(spark, target, f"{target.path}/base/version={version}"), live, folded, version
 
 
 def read_appended(spark: SparkSession, target: SinkSpec) -> DataFrame:
     """All rows of an append sink that was written with batch ids."""
-    return _generations(spark, target).drop("batch_id")
+    base, live, _, _ = _rows(spark, target)
+    return base.unionByName(live).drop(*_PLACE)
 
 
 def read_upserted(spark: SparkSession, target: SinkSpec, keys: Sequence[str] = SINK_KEY) -> DataFrame:
     """Current rows of a file upsert sink: the newest generation of each key."""
-    return latest(_generations(spark, target), keys, ["batch_id"]).drop("batch_id")
+    base, live, _, _ = _rows(spark, target)
+    return latest(base.unionByName(live), keys, _PLACE).drop(*_PLACE)
+
 
+def compact_sink(spark: SparkSession, target: SinkSpec, keys: Sequence[str] = SINK_KEY) -> None:
+    """Fold the generations into a new base next to them.
 
-def compact_sink(spark: SparkSession, target: SinkSpec, new_path: str, keys: Sequence[str] = SINK_KEY) -> SinkSpec:
-    """Write the current rows as one generation under a new path, numbered as the newest one it holds."""
-    newest = _generations(spark, target).agg(F.max("batch_id")).first()[0]
-    moved = SinkSpec(**{**target.__dict__, "path": new_path})
-    _write_batch(read_upserted(spark, target, keys), moved, newest)
-    return moved
+    The manifest that names the base also names the last folded batch of each run. Readers take the base and the generations
+    behind it, so a batch that is folded already and then repeated changes nothing, and a stream may write on while this runs. The
+    newest batch of a run is left out, because its write may not have returned. A manifest is written after its
+    base: until then readers stay with what they had.
+    """
+    base, live, folded, version = _rows(spark, target)
+    ends = {r["run"]: r["upto"] for r in live.groupBy("run").agg((F.max("batch_id") - 1).alias("upto")).collect()}
+    chosen = F.lit(False)
+    for run, upto in ends.items():
+        chosen = chosen | ((F.col("run") == run) & (F.col("batch_id") <= upto))
+    rows = base.unionByName(live.where(chosen))
+    rows = latest(rows, keys, _PLACE) if target.mode == "upsert" else rows
+    rows.write.format(target.format).options(**target.options).mode("overwrite").save(f"{target.path}/base/version={version + 1}")
+    now = list((folded | ends).items())
+    spark.createDataFrame(now, "run long, upto long").coalesce(1).write.mode("overwrite").parquet(f"{target.path}/manifest/version={version + 1}")
 
 
 def ensure_sink_table(spark: SparkSession, table: str, location: str | None = None, unique: bool = True) -> DataFrame:
@@ -179,8 +218,23 @@ def _jdbc(rows: DataFrame, target: SinkSpec, table: str):
     )
 
 
-def _merge_through_stage(rows: DataFrame, target: SinkSpec, keys: Sequence[str], batch_id: int | None) -> None:
-    stage = f"{target.table}_stage" if batch_id is None else f"{target.table}_stage_{batch_id}"
+def append_statements(table: str, stage: str, run: int, batch_id: int) -> list[str]:
+    """Statements that add a staged batch once: a batch that is in the list of batches adds nothing."""
+    columns = ", ".join(f.name for f in SINK_ROW.fields)
+    same = f"run = {run} AND batch_id = {batch_id}"
+    return [
+        f"CREATE TABLE IF NOT EXISTS {table}_batches (run BIGINT, batch_id BIGINT, PRIMARY KEY (run, batch_id))",
+        f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {stage} WHERE NOT EXISTS (SELECT 1 FROM {table}_batches WHERE {same})",
+        f"INSERT INTO {table}_batches SELECT {run}, {batch_id} WHERE NOT EXISTS (SELECT 1 FROM {table}_batches WHERE {same})",
+    ]
+
+
+def _through_stage(rows: DataFrame, target: SinkSpec, batch_id: int | None, statements) -> None:
+    """Write the batch to a staging table and move it from there in one transaction.
+
+    Not tried against a database here; only the statements are.
+    """
+    stage = f"{target.table}_stage" if batch_id is None else f"{target.table}_stage_{target.run}_{batch_id}"
     _jdbc(rows, target, stage).mode("overwrite").save()
     jvm = rows.sparkSession._jvm
     properties = jvm.java.util.Properties()
@@ -190,8 +244,8 @@ def _merge_through_stage(rows: DataFrame, target: SinkSpec, keys: Sequence[str],
     try:
         connection.setAutoCommit(False)
         statement = connection.createStatement()
-        statement.executeUpdate(merge_statement(target.table, stage, keys))
-        statement.executeUpdate(f"DROP TABLE {stage}")
+        for text in [*statements(stage), f"DROP TABLE {stage}"]:
+            statement.executeUpdate(text)
         connection.commit()
     finally:
         connection.close()

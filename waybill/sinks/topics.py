@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# Producer settings for audit events: fast, retried twice, never blocking the main flow.
+# Producer settings for audit events (fast, retried twice, never blocking the main flow).
 AUDIT_PRODUCER = {
     "kafka.acks": "1", "kafka.retries": "2", "kafka.linger.ms": "20", "kafka.compression.type": "lz4",
 }

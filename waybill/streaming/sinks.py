@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import logging
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from waybill.functions.columns import audit_json
 from waybill.operators.batches import batch_reads, commit_events
 from waybill.operators.outcomes import outcome_counters
 from waybill.sinks.tables import SinkSpec, to_sink_rows, write_sink
-from waybill.sinks.topics import TopicSpec, keyed
+from waybill.session import newest_version, run_of
+from waybill.sinks.topics import AUDIT_PRODUCER, TopicSpec, keyed
+
+_LOG = logging.getLogger(__name__)
+#: More batches than one run ever has: a version is run * _BATCHES + batch.
+_BATCHES = 1_000_000
 
 EVERY_FIVE_SECONDS = {"processingTime": "5 seconds"}
 
@@ -26,11 +34,15 @@ def run_sink_stream(
     """Write each micro-batch to the sink; its offsets count as read only after the write returned.
 
     A write that fails for good stops the query, and the next start repeats the same batch. Row ids
-    are deterministic and each batch replaces its own files, so the repeat leaves no duplicates.
-    With ``audit`` a read event is published before the write and a commit event after it. The
-    fingerprint of a repeated batch is the same, which is how a replay is recognised. With
-    ``write_log`` every try adds a row that ``sink_stats`` understands.
+    are deterministic and each batch replaces its own files, so the repeat leaves no duplicates. A new checkpoint
+    is a new run: its batches stand beside those of earlier runs and count as later.
+    With ``audit`` a read event is published before the write and a commit event after it, at best effort: a
+    failure to publish is logged and the sink goes on. The fingerprint of a repeated batch is the same, which
+    is how a replay is recognised. With ``write_log`` every failed try and every written batch is a row that
+    ``sink_stats`` understands.
     """
+    sink = replace(sink, run=run_of(records.sparkSession, checkpoint))
+
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = to_sink_rows(batch, deterministic_id=True, created_at=F.col("timestamp"))
         if audit is None and write_log is None:
@@ -40,15 +52,15 @@ def run_sink_stream(
         try:
             if audit is not None:
                 reads = batch_reads(batch.withColumn("_batch", F.lit(batch_id)), ["_batch"], group, F.current_timestamp())
-                _publish(reads, audit, batch_id, "read")
+                _publish(reads, audit, sink.run, batch_id, "read")
             try:
                 write_sink(rows, sink, batch_id)
             except Exception:
-                _log(batch, write_log, failed=True)
+                _log(batch, write_log, sink.run, batch_id, failed=True)
                 raise
-            _log(batch, write_log, failed=False)
+            _log(batch, write_log, sink.run, batch_id, failed=False)
             if audit is not None:
-                _publish(commit_events(reads, F.current_timestamp()), audit, batch_id, "commit")
+                _publish(commit_events(reads, F.current_timestamp()), audit, sink.run, batch_id, "commit")
         finally:
             batch.unpersist()
 
@@ -60,7 +72,7 @@ def run_sink_stream(
     )
 
 
-def _log(batch: DataFrame, path: str | None, failed: bool) -> None:
+def _log(batch: DataFrame, path: str | None, run: int, batch_id: int, failed: bool) -> None:
     if path is None:
         return
     count = F.count(F.lit(1))
@@ -68,15 +80,21 @@ def _log(batch: DataFrame, path: str | None, failed: bool) -> None:
         F.current_timestamp().alias("at"), count.alias("consumed"), (F.lit(0).cast("bigint") if failed else count).alias("written"),
         F.lit(int(failed)).alias("failed"), F.lit(0).alias("partial"),
     )
-    row.write.mode("append").parquet(path)
+    # A success replaces that of an earlier try of the batch, so a batch counts once; failures add up.
+    row.coalesce(1).write.mode("append" if failed else "overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}/failure={int(failed)}")
 
 
-def _publish(events: DataFrame, target: TopicSpec, batch_id: int, step: str) -> None:
-    out = keyed(events, "eventId", audit_json()).write.format(target.format).options(**target.writer_options())
-    if target.format == "kafka":
-        out.save()
-    else:
-        out.mode("overwrite").save(f"{target.path}/batch_id={batch_id}/step={step}")
+def _publish(events: DataFrame, target: TopicSpec, run: int, batch_id: int, step: str) -> None:
+    """Publish at best effort: whatever goes wrong is logged and never reaches the sink."""
+    try:
+        if target.format == "kafka":
+            options = AUDIT_PRODUCER | target.writer_options()
+            keyed(events, "eventId", audit_json()).write.format("kafka").options(**options).save()
+        else:
+            place = f"{target.path}/run={run}/batch_id={batch_id}/step={step}"
+            keyed(events, "eventId", audit_json()).write.format(target.format).options(**target.writer_options()).mode("overwrite").save(place)
+    except Exception as problem:
+        _LOG.warning("audit event (%s) of batch %s of run %s was not published: %s", step, batch_id, run, problem)
 
 
 def drain(records: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -90,12 +108,15 @@ def drain(records: DataFrame, checkpoint: str, trigger: dict | None = None) -> S
 
 
 def run_counters(outcomes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the outcome counters current in ``path``, one row per label set.
+    """Keep the outcome counters current under ``path``, one row per label set; ``read_counters`` reads them.
 
-    The state and the table have one row per counter and label set, however long the stream runs.
+    The state and the table have one row per counter and label set, however long the stream runs. Each batch writes a
+    version of the table beside the last, so that readers always find a whole one.
     """
+    run = run_of(outcomes.sparkSession, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/version={run * _BATCHES + batch_id}")
 
     return (
         outcome_counters(outcomes)
@@ -105,3 +126,8 @@ def run_counters(outcomes: DataFrame, path: str, checkpoint: str, trigger: dict
         .trigger(**(trigger or EVERY_FIVE_SECONDS))
         .start()
     )
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a counter table."""
+    return spark.read.parquet(f"{path}/version={newest_version(spark, path)}")
