@@ -30,8 +30,9 @@ from waybill.session import cut_lineage
 SAMPLE = 20_000
 TERMS = 3_000
 THRESHOLD = 0.3
-#: A lexicon term is in this many toxic training documents at least, and its association (G squared) is this strong.
-LEAST_DOCS, LEAST_G2 = 3, 25.0
+#: A lexicon term is in this many toxic training documents at least, its log odds are as large as this, and its
+#: association (G squared) is this strong.
+LEAST_DOCS, LEAST_ODDS, LEAST_G2 = 3, 4.5, 12.0
 PREFIXES = range(3, 8)
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:|\n]")
@@ -70,7 +71,7 @@ def _scored(tag: str) -> bool:
 
 # Each insult after the first in a clause weighs less: it repeats what has been said.
 insults = Transducer(2, lambda s, t: (1, 0.5 if s else 1.0) if t == "insult" else (s, 1.0))
-# A threat counts only at somebody: after a target, or right before one (state 2 is never left towards 0 inside a clause).
+# A threat counts fully only after somebody has been addressed in its clause.
 threats = Transducer(2, lambda s, t: (1, 1.0) if t == "target" else (s, (1.0 if s else 0.25) if t == "threat" else 1.0))
 targets = Transducer(2, lambda s, t: (1, 1.0) if t == "target" else (s, 1.25 if s and _scored(t) else 1.0))
 # State n: the negation reaches n more words.
@@ -164,7 +165,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scor
     g2 = 2 * (part_of_g2(F.col("pos"), pos / (pos + neg)) + part_of_g2(F.col("neg"), neg / (pos + neg)))
     best = (
         counted.filter((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS)).select("term", weight.alias("w"), g2.alias("g2"))
-        .filter((F.col("w") > 1.5) & (F.col("g2") >= LEAST_G2)).orderBy(F.desc("g2"), "term").limit(TERMS).collect())
+        .filter((F.col("w") > LEAST_ODDS) & (F.col("g2") >= LEAST_G2)).orderBy(F.desc("g2"), "term").limit(TERMS).collect())
     scorer = Scorer({r["term"]: r["w"] for r in best})
 
     lexicon = scorer.lexicon
