@@ -43,7 +43,7 @@ def lifecycle(horizon: str = "9e18") -> str:
     return f"""a AS (SELECT *, ((t + {6 * HOUR}) // {HOUR} + 1) * {HOUR} AS tk, lead(t) OVER k AS nxt,
     count(*) FILTER (NOT is_read) OVER (PARTITION BY id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ep
   FROM al WINDOW k AS (PARTITION BY id ORDER BY t, seq)),
-f AS (SELECT *, is_read AND (nxt IS NULL OR tk < nxt) AND tk <= {horizon} AS fired FROM a),
+f AS (SELECT *, is_read AND CASE WHEN nxt IS NULL THEN tk <= {horizon} ELSE tk < nxt END AS fired FROM a),
 g AS (SELECT *, count(*) FILTER (is_read) OVER cur AS n, count(*) FILTER (fired) OVER bef AS tb,
     first_value(t) OVER cur AS ft, first_value(grp) OVER cur AS fgrp,
     last_value(CASE WHEN is_read THEN t END IGNORE NULLS) OVER bef AS pt,

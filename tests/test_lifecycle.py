@@ -20,6 +20,8 @@ CASES = {
     "reuse": ([("R", 0), ("C", 5), ("R", 10), ("C", 12)], 1000,
               [("COMMITTED", 0, 5, 5, 1, 0, 0), ("COMMITTED", 10, 12, 12, 3, 0, 0)]),
     "strict edge": ([("R", 10)], 100, []),
+    # The tick at 100 ran before the commit at 500, whatever the horizon.
+    "horizon": ([("R", 0), ("C", 500)], 50, [("ESTIMATED_FAILED", 0, 0, 100, 1, 0, 1), ("LATE_COMMIT", 0, 500, 500, 1, 0, 1)]),
     "tie": ([("R", 0), ("C", 100)], 1000, [("COMMITTED", 0, 100, 100, 1, 0, 0)]),
 }
 CLOCK = {"timeout": "60 seconds", "extra": "30 seconds", "tick": "10 seconds"}

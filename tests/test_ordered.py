@@ -27,6 +27,16 @@ def test_hot_key_is_cut_and_others_are_not(spark, skewed):
     assert all(x["b"] < y["a"] for x, y in zip(rows, rows[1:]))
 
 
+def test_thousands_of_segments(spark):
+    """Numbers rise with the order and no segment is left out, however many there are."""
+    rows = spark.range(9000).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 9000).alias("t"))
+    o = Ordered(rows, ["k"], ["t"], hot_rows=3)
+    found = {r["t"]: r[SEG] for r in o.rows.collect()}
+    assert len(set(found.values())) > 1000
+    assert all(found[t] <= found[t + 1] for t in range(8999))
+    assert [r["n"] for r in running_number(rows, ["k"], ["t"], "n", hot_rows=3).orderBy("t").collect()] == list(range(1, 9001))
+
+
 def test_no_hot_key_is_a_plain_window(skewed):
     assert not Ordered(skewed, ["k"], ["t", "seq"]).split
 

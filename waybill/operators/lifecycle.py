@@ -43,7 +43,7 @@ def annotate(
     extra: str = "30 seconds",
     tick: str = "10 seconds",
     horizon: Column | None = None,
-    order: Sequence[str] = ("timestamp",),
+    order: Sequence[str] = ("timestamp", "stage"),
     **split,
 ) -> DataFrame:
     """Each read and commit with its place in its episode.
@@ -76,9 +76,9 @@ def annotate(
         "_prev": F.last(F.when(F.col("_read"), seen), ignorenulls=True).over(before),
         "_tick": next_tick(F.col("_t"), threshold_us, tick_us),
     })
-    fired = F.col("_read") & (F.isnull("_next") | (F.col("_tick") < F.col("_next")))
-    if horizon is not None:
-        fired = fired & (F.col("_tick") <= F.unix_micros(horizon))
+    # The horizon limits open tails only: a tick before a later event has run, whatever the horizon.
+    ran = F.lit(True) if horizon is None else F.col("_tick") <= F.unix_micros(horizon)
+    fired = F.col("_read") & F.when(F.isnull("_next"), ran).otherwise(F.col("_tick") < F.col("_next"))
     rows = rows.withColumn("_fired", fired)
     rows = rows.withColumns({
         "_fires": F.coalesce(F.sum(F.col("_fired").cast("bigint")).over(before), F.lit(0)),
@@ -173,7 +173,8 @@ def outcomes_of(rows: DataFrame) -> DataFrame:
 def lifecycle_batch(audit: DataFrame, *args, **kwargs) -> DataFrame:
     """All outcomes of an audit log. Arguments as for :func:`annotate`.
 
-    ``horizon`` is the time up to which ticks have run; without it every open read runs to its tick.
+    ``horizon`` is the time up to which ticks have run after an id's last event; without it every open read runs to its
+    tick. By default a read comes before a commit of the same time.
     """
     return outcomes_of(annotate(audit, *args, **kwargs))
 

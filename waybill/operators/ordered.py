@@ -4,8 +4,8 @@ A window over ``partitionBy(key)`` sorts each key inside one task. That is right
 small and wrong when a key holds a third of the rows. ``Ordered`` looks at a sample of the keys
 first. When no key is hot it is a plain window. Otherwise the hot keys, and only those, are cut
 into segments along their order, the window runs per (key, segment), and what a segment needs
-from the ones before or after it comes from a table with one row per segment, which is small by
-construction and therefore broadcast. Where keys are known to be small, ``hot_rows=None`` leaves
+from the ones before or after it comes from a table with one row per segment. Segments hold about ``hot_rows``
+rows each, so there are about rows / hot_rows of them, few enough to broadcast. Where keys are known to be small, ``hot_rows=None`` leaves
 out the look at the sample.
 
 The sample only decides where to cut. Any cut gives the same result, so nothing is lost or
@@ -21,7 +21,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 SEG = "_seg"
-MAX_SEGMENTS = 4096
 HOT_ROWS = 5_000_000
 SAMPLE_FRACTION = 0.001
 _WHOLE = -1
@@ -80,7 +79,7 @@ class Ordered:
         )
         for step in steps:
             table = table.withColumns(dict(step))
-        # One row per segment; there are at most 2 * MAX_SEGMENTS of them.
+        # One row per segment.
         on = [*self.keys, SEG]
         table = table.select(*[F.col(c).alias(f"_of_{c}") for c in on], *keep)
         match = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
@@ -99,15 +98,13 @@ def _cut_points(sampler, keys, order, hot_rows, fraction):
         picked.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows * fraction)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_SEGMENTS)
-        .collect()
+        .collect()  # each stands for more than hot_rows rows
     )
     if not hot:
         return None
     spark = picked.sparkSession
     hot_total = sum(r["_n"] for r in hot) / fraction
-    pieces = min(MAX_SEGMENTS, math.ceil(hot_total / hot_rows) + 1)
+    pieces = math.ceil(hot_total / hot_rows) + 1
     hot_keys = spark.createDataFrame([r[:-1] for r in hot], picked.select(*keys).schema)
     # A few hundred sampled rows per segment are enough to place its edges.
     keep = min(1.0, 500.0 * pieces / hot_total)
@@ -127,29 +124,44 @@ def _cut_points(sampler, keys, order, hot_rows, fraction):
         by_key[tuple(row["edge"]["k"])].append(tuple(row["edge"]["o"]))
     rows = []
     for key, starts in by_key.items():
-        bounds = [None, *starts, None]
-        rows += [(*key, i, bounds[i], bounds[i + 1]) for i in range(len(bounds) - 1)]
+        size = max(1, math.isqrt(len(starts)))
+        blocks = [starts[i : i + size] for i in range(0, len(starts), size)]
+        rows.append((*key, size, [block[0] for block in blocks], blocks))
     fields = picked.select(*keys).schema.fields
     at = T.StructType(picked.select(*order).schema.fields)
     schema = T.StructType([
         *fields,
-        T.StructField(SEG, T.IntegerType()),
-        T.StructField("_from", at),
-        T.StructField("_to", at),
+        T.StructField("_size", T.IntegerType()),
+        T.StructField("_leads", T.ArrayType(at)),
+        T.StructField("_blocks", T.ArrayType(T.ArrayType(at))),
     ])
     return spark.createDataFrame(rows, schema)
 
 
 def _tag(df, cuts, keys, order):
-    # At most 2 * MAX_SEGMENTS rows, so the broadcast has a fixed bound.
+    """Number each hot key's rows by segment: how many of the key's edges lie at or before the row.
+
+    The edges are sorted and cut into blocks, so a row is compared with the first edges of the blocks and then with
+    those of one block: twice the square root of the number of segments.
+    """
+    # One row for each hot key.
     cuts = F.broadcast(cuts.withColumnsRenamed({k: f"_cut_{k}" for k in keys}))
-    at = F.struct(*order)
     match = [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys]
-    match += [F.isnull("_from") | (at >= F.col("_from")), F.isnull("_to") | (at < F.col("_to"))]
+
+    def up_to(edges, at):
+        return F.size(F.filter(edges, lambda e: e <= at))
+
+    def number(at):
+        def inside(block):
+            return F.when(block == 0, 0).otherwise((block - 1) * F.col("_size") + up_to(F.get("_blocks", block - 1), at))
+
+        return F.transform(F.array(up_to(F.col("_leads"), at)), inside)[0]
+
+    seg = F.transform(F.array(F.struct(*order)), number)[0]
     return (
         df.join(cuts, match, "left")
-        .withColumn(SEG, F.coalesce(SEG, F.lit(_WHOLE)))
-        .drop("_from", "_to", *[f"_cut_{k}" for k in keys])
+        .withColumn(SEG, F.when(F.col("_size").isNull(), F.lit(_WHOLE)).otherwise(seg))
+        .drop("_size", "_leads", "_blocks", *[f"_cut_{k}" for k in keys])
     )
 
 

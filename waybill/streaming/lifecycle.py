@@ -84,7 +84,7 @@ class LifecycleProcessor(StatefulProcessor):
         entry = self._load()
         timer = entry["timer"] if entry else None
         # A key's rows of one micro-batch come in any order; the source's batch bound limits them.
-        for row in sorted(rows, key=lambda r: (r["_us"], r["_seq"])):
+        for row in sorted(rows, key=lambda r: (r["_us"], r["_seq"], r["stage"])):
             at = row["_us"]
             if entry is not None and self.event_time:
                 yield from self._expire(name, entry, at)
@@ -109,11 +109,11 @@ class LifecycleProcessor(StatefulProcessor):
         if entry["timed_out"] is not None:
             self.entry.clear()
             return
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
         if self.event_time:
-            yield from self._expire(key[0], entry, now + 1)
+            yield from self._expire(key[0], entry, expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1)
         else:
-            # By the wall clock the entry times out at the tick that finds it.
+            # By the wall clock the entry times out at the tick that finds it, which a lagging stream runs late.
+            now = timerValues.getCurrentProcessingTimeInMs() * 1000
             entry["timed_out"] = now - now % self.tick_us
             entry["timeouts"] += 1
             yield self._outcome(key[0], ESTIMATED_FAILED, entry, entry["timed_out"])
