@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 #: Words of most contracts are runs without these bytes: [\x20\x09-\x0D].
 SPACE = r"[ \t-\r]+"
 _HASH_CHUNK = 1 << 20
+PIECE = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,18 @@ def _arrow(field: T.StructField) -> pa.DataType:
     return to_arrow_type(field.dataType)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of text (or one row), so that arrays made from them stay small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = x.astype(np.uint64, copy=True)
@@ -126,19 +139,20 @@ def id_filter(ids: DataFrame, key: str, bits: int = 23) -> DataFrame:
     )
 
 
-def may_be_in(df: DataFrame, marks: DataFrame, key: str, bits: int = 23) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among those in an ``id_filter``; an exact join has to follow.
+def may_be_in(df: DataFrame, marks: DataFrame, key: str, bits: int = 23, flag: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among those in an ``id_filter``; an exact join has to follow (an
+    inner one: the optimizer would move a semi join ahead of this filter).
 
-    The bitmap is broadcast: its size is fixed by ``bits``. A full bitmap lets all rows pass.
+    With ``flag`` all rows stay and that column tells. The bitmap is broadcast: its size is fixed by ``bits``. A full bitmap
+    lets all rows pass.
     """
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    spot = F.expr("bitmap_bit_position(_place)")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))")) != 0
-    return (
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(bitmap_bit_position(_place) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))")) != 0, F.lit(False))
+    joined = (
         df.withColumn("_place", place).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)"))
-        .join(F.broadcast(marks), "_bucket").filter(hit).drop("_place", "_bucket", "_bits")
-    )
+        .join(F.broadcast(marks), "_bucket", "left" if flag else "inner"))
+    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop("_place", "_bucket", "_bits")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

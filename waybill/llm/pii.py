@@ -23,7 +23,7 @@ from waybill.llm.common import id_filter, let, may_be_in
 from waybill.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
-ALPHA = 0.75
+ALPHA = 0.9
 LEAST_LINES = 3
 
 # The base patterns. What precedes a match is spelled out so that a failed search is not tried again at every
@@ -108,25 +108,26 @@ def disclosing_terms(documents: DataFrame, spans: DataFrame, alpha: float = ALPH
                                            lambda e: F.contains(F.col("line"), e["value"]))).alias("entity")))
     # One row for each entity and distinct line, whatever the copies.
     around = cut_lineage(around.withColumn("line_id", F.xxhash64("line")).dropDuplicates(["entity", "line_id"]))
-    together = (
-        around.select("entity", F.explode(_terms(F.regexp_replace("line", PATTERNS["email"], " "))).alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least))
-    together = cut_lineage(together)
+    named = cut_lineage(around.select("entity", "line_id", F.explode(_terms(F.regexp_replace("line", PATTERNS["email"], " "))).alias("term")))
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = float(max(docs.select(F.sum(F.size(F.split("text", "\n"))).alias("n")).first()["n"] or 0, 1))
     entities = around.groupBy("entity").agg(F.count("*").alias("lines"))
+    # The threshold as a bound on p(t): a term may be in so many lines at most. Lines that name any entity are some of them, so
+    # words of everyday use drop out here, before the whole corpus is searched for the others.
+    near = named.select("term", "line_id").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    most = F.col("both") * F.pow(F.lit(total) / F.col("lines"), F.lit(1 - alpha))
+    together = (
+        named.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
+        .join(entities, "entity").withColumn("most", most).join(near, "term").filter(F.col("near") <= F.col("most")))
+    together = cut_lineage(together.select("term", "most"))
     marks = id_filter(together.select("term"), "term")
 
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     seen = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.explode(F.split("text", "\n")).alias("line")).select(
         "doc_id", "_hash", F.xxhash64("line").alias("line_id"), F.explode(_terms(F.col("line"))).alias("term"))
     # Only occurrences of candidate terms go on, whole corpus over.
-    seen = cut_lineage(may_be_in(seen, marks, "term").join(together.select("term").distinct(), "term", "left_semi"))
+    seen = cut_lineage(may_be_in(seen, marks, "term").join(together.select("term").distinct(), "term"))
     lines = seen.select("term", "line_id").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.select(F.sum(F.size(F.split("text", "\n"))).alias("n")).first()["n"] or 0
-
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("lines"))
-    mutual = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("with_term") * F.col("lines")))
-    disclosing = (
-        together.join(entities, "entity").join(lines, "term").filter((information > 0) & (mutual >= alpha * information)).select("term").distinct())
+    disclosing = together.join(lines, "term").filter(F.col("with_term") <= F.col("most")).select("term").distinct()
     return disclosing, seen.select("term", "doc_id", "_hash").distinct()
 
 
