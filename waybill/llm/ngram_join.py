@@ -1,15 +1,17 @@
 """N-gram Jaccard join by prefix filters under several global orders.
 
 A document is the set of its word shingles. If two sets of sizes n and m overlap by the threshold, then under *any*
-order of all shingles they share one among the first n - ceil(t n) + 1 of the one and of the other. Here three
-orders are used; all put shingles that are rare in the whole corpus first and break ties by hashes of their own. Pairs have to share a prefix
-shingle under every order (the three filters are intersected) and to have sizes that allow the threshold; only
-then are their sets compared. Shingles that occur once in the corpus join nothing and are not sent.
-
-Equal sets are one node from the start (told apart by size and a 64-bit sum of hashes), so exact copies cost nothing. In buckets of many
-nodes not all pairs are written out. First every node is compared with the bucket's hub, the node with the fewest shingles of its own:
-copies of one text, changed here and there, all hang on to the least changed one. Then only nodes of such buckets that are still in
-different components are paired, with a join that spills. Components come out as if all pairs had been compared.
+order of all shingles they share one among the first n - ceil(t n) + 1 of the one and of the other. Three orders are
+used; all put shingles that are rare in the whole corpus first and break ties by hashes of their own. The prefixes under the first
+order are joined; those under the other two travel along as bit masks, and a pair whose masks do not meet under both
+shares no prefix shingle there. So the three filters are intersected before any set is compared. Shingles that occur once in the
+corpus join nothing and are not sent; their number bounds the overlap of each pair and rules out most others.
+
+Equal sets are one node from the start (told apart by size and a 64-bit sum of hashes), so exact copies cost nothing. A pair is written
+in one bucket only, that of the first of both nodes' leading shingles. In buckets of many nodes not all pairs are written
+out: first every node is compared with the bucket's hub, the node with the fewest shingles of its own (copies of one text, changed
+here and there, hang on to the least changed one), then only nodes that are still in different components are paired, by a
+join that spills. Components come out as if all pairs had been compared.
 
 Words are runs outside [\\x20\\x09-\\x0D] after lower-casing A-Z; with fewer words than a shingle has, all of them are one shingle; null and
 empty texts are linked with nothing. Rows of equal doc_id are one document; rows without doc_id take part in links but give no
@@ -24,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waybill.llm.common import mix, runs_of_words, word_hashes
+from waybill.llm.common import mix, pieces, runs_of_words, word_hashes
 from waybill.llm.graph import components
 from waybill.llm.rare import level_of, levels, slice_bits, text_bytes
 from waybill.session import cut_lineage
 
 WORDS, PERCENT = 4, 85
-ORDERS = 3
 #: Bins of the table of levels: 32 MB at a byte each.
 TABLE_BITS = 25
 #: Buckets of more nodes than this start with their hub; it decides how pairs are found, not which.
@@ -74,7 +75,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 def _documents_as_nodes(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, n (shingles) and node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             h, begin = shingle_sets(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(begin).astype(np.int64)), pa.array(nodes_of(h, begin))], names=["doc_id", "n", "node"])
@@ -90,77 +91,109 @@ def _rank(h: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
     return level.astype(np.uint64) << np.uint64(56) | mix(h + np.uint64(order + 1)) >> np.uint64(8)
 
 
+def _prefix(h: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The repeated shingles among the first ``length`` under an order, in that order."""
+    rank = _rank(h, level, order)
+    first = np.argpartition(rank, length - 1)[:length] if length < len(h) else np.arange(len(h))
+    first = first[level[first] > 0]
+    return h[first[np.argsort(rank[first])]]
+
+
+#: Bits per mask of a prefix, and leading shingles that decide where a pair is written.
+_MASK, _LEAD = 64, 4
+_COLUMNS = (("keys", "<i8"), ("nodes", "<i8"), ("sizes", "<i4"), ("own", "<i4"), ("mask1", "<u8"), ("mask2", "<u8"), *((f"lead{i}", "<i8") for i in range(_LEAD)))
+
+
 def _prefixes(documents: DataFrame, table, size: int, percent: int, cuts: int) -> DataFrame:
-    """Prefix shingles that occur more than once, packed by slices of their hashes."""
+    """Prefix shingles that occur more than once, with what is known of their nodes, packed by slices of their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             h, begin = shingle_sets(batch.column("text"), size)
             nodes, level = nodes_of(h, begin), level_of(marks, h)
             _, firsts = np.unique(nodes, return_index=True)
-            keys, owner = [], []
+            parts, facts = [], []
             for i in firsts.tolist():
-                a, b = begin[i], begin[i + 1]
-                if a == b or not level[a:b].any():
+                mine, rare = h[begin[i] : begin[i + 1]], level[begin[i] : begin[i + 1]]
+                n = len(mine)
+                prefix = _prefix(mine, rare, 0, prefix_length(n, percent)) if n and rare.any() else mine[:0]
+                if not len(prefix):
                     continue
-                p = prefix_length(int(b - a), percent)
-                for k in range(ORDERS):
-                    rank = _rank(h[a:b], level[a:b], k)
-                    chosen = np.argpartition(rank, p - 1)[:p] if p < b - a else np.arange(b - a)
-                    chosen = chosen[level[a:b][chosen] > 0]
-                    # The order is part of the key: its lowest two bits.
-                    keys.append(mix(h[a:b][chosen] ^ np.uint64(k)) & ~np.uint64(3) | np.uint64(k))
-                    owner.append(np.full(len(chosen), i))
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-            unique = np.add.reduceat(np.append(level == 0, False).astype(np.int64), begin[:-1]) * (np.diff(begin) > 0)
-            order = np.argsort(key, kind="stable")
+                masks = [int(np.bitwise_or.reduce(np.uint64(1) << (_prefix(mine, rare, k, prefix_length(n, percent)) % np.uint64(_MASK)), initial=0)) for k in (1, 2)]
+                keys = prefix.astype(np.int64)
+                parts.append(keys)
+                facts.append((nodes[i], n, int((rare == 0).sum()), *masks, *keys[:_LEAD], *[0] * (_LEAD - len(keys[:_LEAD]))))
+            key = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            own = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64)
+            order = np.argsort(key.view(np.uint64), kind="stable")
             key, own = key[order], own[order]
-            edges = np.searchsorted(key >> np.uint64(64 - cuts), np.arange((1 << cuts) + 1))
+            edges = np.searchsorted(key.view(np.uint64) >> np.uint64(64 - cuts), np.arange((1 << cuts) + 1))
             rows = [(i, x, y) for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
-            columns = [(key, "<u8"), (nodes[own], "<i8"), (np.diff(begin)[own], "<i4"), (unique[own], "<i4")]
+            values = [key, *(np.array(column, kind)[own] for column, (_, kind) in zip(zip(*facts), _COLUMNS[1:]))] if facts else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in rows], pa.int32()), *(pa.array([v[x:y].astype(t).tobytes() for _, x, y in rows], pa.binary()) for v, t in columns)],
-                names=["slice", "keys", "nodes", "sizes", "own"])
+                [pa.array([i for i, _, _ in rows], pa.int32()),
+                 *(pa.array([v[x:y].astype(kind).tobytes() for _, x, y in rows], pa.binary()) for v, (_, kind) in zip(values or [key] * len(_COLUMNS), _COLUMNS))],
+                names=["slice", *(name for name, _ in _COLUMNS)])
 
-    return _texts(documents).mapInArrow(run, "slice int, keys binary, nodes binary, sizes binary, own binary")
+    return _texts(documents).mapInArrow(run, "slice int, " + ", ".join(f"{name} binary" for name, _ in _COLUMNS))
 
 
-#: kind 0, 1, 2: a pair (a, b) under that order; 3: a hub a and a node b to compare at once; 4: node b of a large bucket a.
-_FOUND = "kind int, a long, b long, n int"
+#: kind 0: a pair (a, b) of nodes to compare; 1: node b of the large bucket a, with its facts.
+_FOUND = "kind int, a long, b long, n int, own int, mask1 long, mask2 long, lead array<long>"
 
 
 def _pairs(percent: int):
     def pairs(part: pa.Table) -> pa.Table:
-        def joined(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(part[name].to_pylist()), kind)
-
-        key, node, n, own = joined("keys", "<u8"), joined("nodes", "<i8"), joined("sizes", "<i4").astype(np.int64), joined("own", "<i4")
-        order = np.lexsort((node, n, key))
-        key, node, n, own = key[order], node[order], n[order], own[order]
+        v = {name: np.frombuffer(b"".join(part[name].to_pylist()), kind) for name, kind in _COLUMNS}
+        order = np.lexsort((v["nodes"], v["sizes"], v["keys"]))
+        key, node = v["keys"][order], v["nodes"][order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, n, own = key[new], node[new], n[new], own[new]
+        v = {name: x[order][new] for name, x in v.items()}
+        key, node, n, own = v["keys"], v["nodes"], v["sizes"].astype(np.int64), v["own"].astype(np.int64)
+        lead = np.stack([v[f"lead{i}"] for i in range(_LEAD)], axis=1)
+
+        def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """What two nodes cannot share is known: the shingles only one of them has, and prefixes whose masks do not meet."""
+            most = np.minimum(n[x] - own[x], n[y] - own[y])
+            meet = ((v["mask1"][x] & v["mask1"][y]) > 0) & ((v["mask2"][x] & v["mask2"][y]) > 0)
+            return meet & (100 * most >= percent * (n[x] + n[y] - most))
+
+        def here(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Whether this bucket is the first that both nodes lead with (or none is)."""
+            same = (lead[x][:, :, None] == lead[y][:, None, :]).any(2) & (lead[x] != 0)
+            return ~same.any(1) | (lead[x, same.argmax(1)] == key[x])
+
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
         width = np.diff(edges)
-        out = []
-        # Small buckets: all pairs at a distance of d places, for all buckets at once; sizes rise inside a bucket.
-        small = np.repeat(width <= BUCKET, width) if len(width) else np.zeros(0, bool)
+        found = []
+        # Small buckets: all pairs at a distance of d places, for all buckets at once.
+        small = np.repeat(width <= BUCKET, width)
         for d in range(1, BUCKET):
             x = np.flatnonzero(small[:-d] & (key[:-d] == key[d:])) if len(key) > d else np.zeros(0, np.int64)
             if not len(x):
                 break
-            x = x[100 * n[x] >= percent * n[x + d]]
-            out.append(np.stack([(key[x] & np.uint64(3)).astype(np.int64), np.minimum(node[x], node[x + d]), np.maximum(node[x], node[x + d]), np.zeros(len(x), np.int64)]))
+            x = x[possible(x, x + d)]
+            x = x[here(x, x + d)]
+            found.append((node[x], node[x + d]))
+        members = []
         for e in np.flatnonzero(width > BUCKET).tolist():
-            a, b = edges[e], edges[e + 1]
-            hub = a + int(np.lexsort((node[a:b], own[a:b]))[0])
-            size = np.minimum(n[a:b], n[hub]) * 100 >= percent * np.maximum(n[a:b], n[hub])
-            near = a + np.flatnonzero(size & (np.arange(a, b) != hub))
-            out.append(np.stack([np.full(len(near), 3), np.minimum(node[near], node[hub]), np.maximum(node[near], node[hub]), np.zeros(len(near), np.int64)]))
-            out.append(np.stack([np.full(b - a, 4), np.full(b - a, key[a]).astype(np.int64), node[a:b], n[a:b]]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((4, 0), np.int64)
-        return pa.table([pa.array(found[0].astype(np.int32)), pa.array(found[1]), pa.array(found[2]), pa.array(found[3].astype(np.int32))], names=["kind", "a", "b", "n"])
+            rows = np.arange(edges[e], edges[e + 1])
+            hub = rows[np.lexsort((node[rows], own[rows]))[0]]
+            near = rows[(rows != hub) & (lead[rows, :2] == key[rows, None]).any(1)]
+            near = near[possible(near, np.full(len(near), hub))]
+            found.append((node[near], np.full(len(near), node[hub])))
+            members.append(rows)
+        pair = np.unique(np.stack([np.concatenate([np.minimum(x, y) for x, y in found]), np.concatenate([np.maximum(x, y) for x, y in found])]), axis=1) if found else np.zeros((2, 0), np.int64)
+        rows = np.concatenate(members) if members else np.zeros(0, np.int64)
+        none = pa.nulls(pair.shape[1])
+        return pa.table({
+            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [pair.shape[1], len(rows)])),
+            "a": np.concatenate([pair[0], key[rows]]), "b": np.concatenate([pair[1], node[rows]]),
+            **{name: pa.concat_arrays([none.cast(kind), pa.array(x[rows].astype(t)).cast(kind)]) for name, x, t, kind in (
+                ("n", n, np.int32, pa.int32()), ("own", own, np.int32, pa.int32()), ("mask1", v["mask1"], np.int64, pa.int64()), ("mask2", v["mask2"], np.int64, pa.int64()))},
+            "lead": pa.array([None] * pair.shape[1] + lead[rows].tolist(), pa.list_(pa.int64())),
+        })
 
     return pairs
 
@@ -178,7 +211,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             h, begin = shingle_sets(batch.column("text"), size)
             nodes = nodes_of(h, begin)
             _, firsts = np.unique(nodes, return_index=True)
@@ -218,28 +251,22 @@ def node_links(documents: DataFrame, size: int, percent: int, table_bits: int =
     table = documents.sparkSession.sparkContext.broadcast(levels(documents, lambda t: shingle_sets(t, size)[0], table_bits, total))
     sent = _prefixes(documents, table, size, percent, slice_bits(total, SLICE_TEXT))
     found = cut_lineage(sent.groupBy("slice").applyInArrow(_pairs(percent), _FOUND))
-    pairs = found.filter("kind < 3").select("kind", "a", "b").distinct()
-    every = (1 << ORDERS) - 1
-    in_all = pairs.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == every).select("a", "b")
-    tried = cut_lineage(in_all.union(found.filter("kind = 3").select("a", "b")).distinct())
+    tried = cut_lineage(found.filter("kind = 0").select("a", "b").distinct())
     links = cut_lineage(_linked(documents, tried, size, percent))
 
-    members = found.filter("kind = 4").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    members = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "own", "mask1", "mask2", "lead")
     if members.isEmpty():
         return links
-    members = members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = cut_lineage(members)
+    members = cut_lineage(members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     rest = members.join(open_keys, "key")
-    x, y = (rest.select("key", *(F.col(c).alias(p + c) for c in ("node", "n", "component"))) for p in ("x_", "y_"))
-    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
-    across = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & fits)
-    across = across.select((F.col("key").bitwiseAND(3)).cast("int").alias("kind"), F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    # A pair may share a small bucket under one order and a large one under another.
-    more = (
-        pairs.union(across).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("orders")).filter(F.col("orders") == every)
-        .select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    return links.union(cut_lineage(_linked(documents, cut_lineage(more), size, percent)))
+    x, y = (rest.select("key", *(F.col(c).alias(p + c) for c in rest.columns if c != "key")) for p in ("x_", "y_"))
+    most = F.least(F.col("x_n") - F.col("x_own"), F.col("y_n") - F.col("y_own"))
+    possible = (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)) & (F.col("x_mask1").bitwiseAND(F.col("y_mask1")) != 0) & (F.col("x_mask2").bitwiseAND(F.col("y_mask2")) != 0)
+    here = F.coalesce(F.get(F.array_remove(F.array_intersect("x_lead", "y_lead"), F.lit(0).cast("long")), F.lit(0)), F.col("key")) == F.col("key")
+    across = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & possible & here)
+    across = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.union(cut_lineage(_linked(documents, cut_lineage(across), size, percent)))
 
 
 def join_components(documents: DataFrame, size: int = WORDS, percent: int = PERCENT, table_bits: int = TABLE_BITS) -> DataFrame:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from waybill.llm.common import pieces
+
 SLICE_TEXT = 16 << 20
 
 
@@ -44,7 +46,7 @@ def levels(documents: DataFrame, hashes: Callable[[pa.Array], np.ndarray], bits:
     cuts = min(slice_bits(size, SLICE_TEXT), bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             h, n = np.unique(hashes(batch.column(text)), return_counts=True)
             edges = np.searchsorted(h >> np.uint64(64 - cuts), np.arange((1 << cuts) + 1))
             rows = [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]

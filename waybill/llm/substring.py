@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from waybill.llm.common import runs_of_words, word_hashes
+from waybill.llm.common import pieces, runs_of_words, word_hashes
 from waybill.llm.rare import level_of, levels, slice_bits, text_bytes
 from waybill.session import cut_lineage
 
@@ -71,7 +71,7 @@ def _candidates(documents: DataFrame, table, cuts: int) -> DataFrame:
     """Windows with a repeated anchor, packed by slice; rows with ``doc`` set hold starts already known to be repeated."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             words, first = word_hashes(batch.column("text"))
             ids = batch.column("doc").to_numpy()
             a, places = _anchors(words, first)
