@@ -83,6 +83,18 @@ def test_shingles_of_short_and_empty_texts():
     assert h[0] == h[1] and h[3] == h[6]
 
 
+def test_a_text_is_the_same_node_at_every_place_of_every_batch():
+    rng = random.Random(12)
+    mine = words(rng, 80, 9999)
+    nodes = set()
+    for before in (0, 1, 7, 60):
+        batch = pa.array([*(words(rng, rng.randrange(200), 9999) for _ in range(before)), mine, "", mine.upper(), words(rng, 50, 9999)])
+        got = J.nodes_of(*J.shingle_sets(batch, 4)).tolist()
+        nodes |= {got[before], got[before + 2]}
+        assert len(set(got[before:])) == 3
+    assert len(nodes) == 1
+
+
 def test_graph_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (100, 15), (7, 7)], "a long, b long")
     got = dict(components(links).collect())

@@ -63,7 +63,9 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def nodes_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A signed 64-bit number for each set: equal for equal sets."""
-    total = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]).astype(np.uint64)
+    # All in uint64, which wraps: a place in the batch must not change a set's sum.
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=total[1:])
     sizes = np.diff(begin).astype(np.uint64)
     return mix((total[begin[1:]] - total[begin[:-1]]) ^ mix(sizes)).astype(np.int64)
 
