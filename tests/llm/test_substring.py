@@ -41,6 +41,26 @@ def test_equals_brute_force(spark):
     assert out.columns == [*docs.columns, "n_words", "n_removed"] and out.filter("doc_id = 0").first()["text"] is None
 
 
+def test_texts_without_id_are_documents_of_their_own(spark):
+    rng = random.Random(5)
+    passage, other = words(rng, 25, 9**5), words(rng, 25, 9**5)
+    own = [words(rng, n, 9**5) for n in (9, 9, 9, 40, 60)]
+    loose = [f"{own[0]} {passage}", f"{own[1]} {passage}", f"{own[2]} {other}", own[3], f"{own[3]} {own[4]}", None]
+    rows = [(7, f"{words(rng, 4, 9**5)} {other}"), *((None, t) for t in loose), (None, loose[0]), (2**63 - 1, own[4])]
+    got = {}
+    for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), table_bits=12).collect():
+        got.setdefault((r["doc_id"], r["n_words"]), []).append((r["text"], r["n_removed"]))
+    # A passage at one place of two texts goes from one of them; copies of a text keep it alike.
+    pair = got[None, 34]
+    kept = [t for t, n in pair if n == 0]
+    assert sorted(t for t, n in pair if n == 25) == sorted({loose[0]: [own[1], own[2]], loose[1]: [own[0], own[0], own[2]]}[kept[0]])
+    assert sorted(kept) in ([loose[0], loose[0]], [loose[1]])
+    # Words that stand once stay, whatever is removed from other texts at their place.
+    assert got[7, 29][0][1] == 0 and got[2**63 - 1, 60] == [(own[4], 0)]
+    assert sorted(n for c in (40, 100) for _, n in got[None, c]) in ([0, 100], [40, 60])
+    assert got[None, 0] == [(None, 0)]
+
+
 def test_the_cover_meets_every_difference():
     d, v = substring.COVER, substring.PERIOD
     assert {(a - b) % v for a in d for b in d} == set(range(v))

@@ -8,7 +8,8 @@ window around a repeated anchor are hashed as a whole and compared across the co
 (smaller doc_id, or earlier start in one document) marks its words. Windows are judged on the input.
 
 Words are runs outside [\\x20\\x09-\\x0D], told apart by 64-bit hashes. Null texts have no words; rows of equal doc_id are copies of one
-document (none is earlier than the other); rows without doc_id come after all others. An empty table gives an empty one.
+document (none is earlier than the other); rows without doc_id come after all others and are documents by their text, in the order of its
+hash: equal ones are copies, different ones are not. An empty table gives an empty one.
 
 Repeated windows inside a batch are found there; what goes over the network is one row of packed numbers per batch and slice
 of the hash space, so that a passage in a third of all documents arrives once per batch.
@@ -49,22 +50,29 @@ def anchor_hashes(texts: pa.Array) -> np.ndarray:
     return _anchors(*word_hashes(texts))[0]
 
 
-def _split(doc: np.ndarray, start: np.ndarray) -> list[tuple[int, bytes]]:
-    """(doc, packed starts) for rows sorted by doc."""
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
-    return [(int(doc[a]), start[a:b].astype("<i4").tobytes()) for a, b in zip(edges, edges[1:])]
+def _keyed(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``_doc`` and ``_tie``, which together tell documents apart; the tie is 0 wherever there is a doc_id."""
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    return documents.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_tie": tie})
 
 
-def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (hash, doc, start), and which of that order come after the first of their hash."""
-    order = np.lexsort((start, doc, h))
-    h, doc, start = h[order], doc[order], start[order]
+def _split(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(doc, tie, packed starts) for rows sorted by doc and tie."""
+    edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]), [True]])) if len(doc) else [0]
+    return [(int(doc[a]), int(tie[a]), start[a:b].astype("<i4").tobytes()) for a, b in zip(edges, edges[1:])]
+
+
+def _later(h: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (hash, doc, tie, start), and which of that order come after the first of their hash."""
+    order = np.lexsort((start, tie, doc, h))
+    h, doc, tie, start = h[order], doc[order], tie[order], start[order]
     run = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     lead = np.flatnonzero(run)[np.cumsum(run) - 1] if len(h) else np.zeros(0, np.int64)
-    return order, (doc != doc[lead]) | (start != start[lead])
+    return order, (doc != doc[lead]) | (tie != tie[lead]) | (start != start[lead])
 
 
-_SENT = "slice int, doc long, hashes binary, docs binary, low binary, high binary"
+#: ``ties`` has numbers for the windows of rows without doc_id only.
+_SENT = "slice int, doc long, tie long, hashes binary, docs binary, ties binary, low binary, high binary"
 
 
 def _candidates(documents: DataFrame, table, cuts: int) -> DataFrame:
@@ -73,7 +81,7 @@ def _candidates(documents: DataFrame, table, cuts: int) -> DataFrame:
         marks = np.frombuffer(table.value, np.uint8)
         for batch in pieces(batches):
             words, first = word_hashes(batch.column("text"))
-            ids = batch.column("doc").to_numpy()
+            ids, own_ties = batch.column("_doc").to_numpy(), batch.column("_tie").to_numpy()
             a, places = _anchors(words, first)
             flags = np.zeros(len(words) + 1, np.int64)
             flags[places[level_of(marks, a) > 0] + 1] = 1
@@ -83,23 +91,23 @@ def _candidates(documents: DataFrame, table, cuts: int) -> DataFrame:
             start = (np.arange(len(h)) - np.repeat(begin[:-1], counts))
             place = start + np.repeat(first[:-1], counts)
             keep = upto[place + PERIOD] > upto[place]
-            h, start, doc = h[keep], start[keep], np.repeat(ids, counts)[keep]
-            order, later = _later(h, doc, start)
-            h, start, doc = h[order], start[order], doc[order]
-            known = np.lexsort((start[later], doc[later]))
-            mine = _split(doc[later][known], start[later][known])
+            h, start, doc, tie = h[keep], start[keep], np.repeat(ids, counts)[keep], np.repeat(own_ties, counts)[keep]
+            order, later = _later(h, doc, tie, start)
+            h, start, doc, tie = h[order], start[order], doc[order], tie[order]
+            known = np.lexsort((start[later], tie[later], doc[later]))
+            mine = _split(doc[later][known], tie[later][known], start[later][known])
             new = ~later
-            new[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-            h, start, doc = h[new], start[new], doc[new]
+            new[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1])
+            h, start, doc, tie = h[new], start[new], doc[new], tie[new]
             edges = np.searchsorted(h >> np.uint64(64 - cuts), np.arange((1 << cuts) + 1))
-            rows = [(i, None, _bytes(h[x:y], "<u8"), _bytes(doc[x:y], "<i8"), _bytes(start[x:y] & 0xFFFF, "<u2"), _bytes(start[x:y] >> 16, "<u2"))
+            rows = [(i, None, None, _bytes(h[x:y], "<u8"), _bytes(doc[x:y], "<i8"), _bytes(tie[x:y][doc[x:y] == _LAST], "<i8"), _bytes(start[x:y] & 0xFFFF, "<u2"), _bytes(start[x:y] >> 16, "<u2"))
                     for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
-            rows += [(d % (1 << cuts), d, None, None, s, None) for d, s in mine]
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            rows += [((d + t) % (1 << cuts), d, t, None, None, None, s, None) for d, t, s in mine]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["slice", "doc", "hashes", "docs", "low", "high"])
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["slice", "doc", "tie", "hashes", "docs", "ties", "low", "high"])
 
-    docs = documents.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _keyed(documents.select("doc_id", "text")).select("_doc", "_tie", F.coalesce("text", F.lit("")).alias("text"))
     return docs.mapInArrow(send, _SENT)
 
 
@@ -117,20 +125,24 @@ def _compare(part: pa.Table) -> pa.Table:
 
     h, doc = joined("hashes", "<u8"), joined("docs", "<i8")
     start = joined("low", "<u2").astype(np.int64) | joined("high", "<u2").astype(np.int64) << 16
-    order, later = _later(h, doc, start)
-    doc, start = doc[order][later], start[order][later]
-    by_doc = np.lexsort((start, doc))
-    found = _split(doc[by_doc], start[by_doc]) + list(zip(ready["doc"].to_pylist(), ready["low"].to_pylist()))
-    return pa.table({"doc": pa.array([d for d, _ in found], pa.int64()), "starts": pa.array([s for _, s in found], pa.binary())})
+    tie = np.zeros(len(doc), np.int64)
+    tie[doc == _LAST] = joined("ties", "<i8")
+    order, later = _later(h, doc, tie, start)
+    doc, tie, start = doc[order][later], tie[order][later], start[order][later]
+    by_doc = np.lexsort((start, tie, doc))
+    found = _split(doc[by_doc], tie[by_doc], start[by_doc]) + list(zip(*(ready[name].to_pylist() for name in ("doc", "tie", "low"))))
+    return pa.table({
+        "doc": pa.array([d for d, _, _ in found], pa.int64()), "tie": pa.array([t for _, t, _ in found], pa.int64()),
+        "starts": pa.array([s for _, _, s in found], pa.binary())})
 
 
 def repeated_starts(documents: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
-    """doc (2**63 - 1 for null ids) and ``starts``: packed starts of its windows that occur earlier somewhere."""
+    """doc (2**63 - 1 for null ids), tie (their hash of the text) and ``starts``: packed starts of its windows that occur earlier somewhere."""
     size = text_bytes(documents)
     table = documents.sparkSession.sparkContext.broadcast(levels(documents, anchor_hashes, table_bits, size))
     sent = _candidates(documents, table, slice_bits(size, SLICE_TEXT))
-    found = sent.groupBy("slice").applyInArrow(_compare, "doc long, starts binary")
-    return cut_lineage(found.groupBy("doc").agg(F.collect_list("starts").alias("starts")))
+    found = sent.groupBy("slice").applyInArrow(_compare, "doc long, tie long, starts binary")
+    return cut_lineage(found.groupBy("doc", "tie").agg(F.collect_list("starts").alias("starts")))
 
 
 def deduplicate(documents: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
@@ -142,8 +154,8 @@ def deduplicate(documents: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = [f for f in documents.schema.fields if f.name not in ("n_words", "n_removed")]
     schema = T.StructType(kept + new)
-    docs = documents.select(*(f.name for f in kept)).withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST)))
-    joined = docs.join(starts.select(F.col("doc").alias("_doc"), F.col("starts").alias("_starts")), "_doc", "left")
+    docs = _keyed(documents.select(*(f.name for f in kept)))
+    joined = docs.join(starts.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts")), ["_doc", "_tie"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
