@@ -50,6 +50,26 @@ def test_random_strings_are_found_and_ordinary_ones_allowed():
     assert secrets.redact("my token = abcdefgh12 end") == "my [secret] end"
 
 
+def test_hexadecimal_keys_are_found_behind_names_and_paths():
+    rng = random.Random(2)
+    for before, after in (("sig=", ""), ("key_", ""), ("url/", "/x"), ("x-", "-y"), ("", "_v")):
+        for digits, size in (("0123456789ABCDEF", 40), ("0123456789ABCDEF", 24), ("0123456789abcdef", 24)):
+            keys = ["".join(rng.choices(digits, k=size)) for _ in range(100)]
+            alone = sum(any(k == 3 for _, k, _ in secrets.find(f"see {x} there")[1]) for x in keys)
+            glued = sum(any(k == 3 for _, k, _ in secrets.find(f"see {before}{x}{after} there")[1]) for x in keys)
+            assert glued >= alone >= 80, (before, digits, size)
+    for plain in ("build_20240102030405060708", "name_ffffffffffffffffffff1", "key_deadbeefdeadbeefdeadbeef", "dead-beef-cafe-1234-5678"):
+        assert not secrets.find(f"x {plain} y")[1], plain
+
+
+def test_a_fixed_pattern_hides_only_its_own_part():
+    rng = random.Random(4)
+    low, up = "".join(rng.choices("0123456789abcdef", k=32)), "".join(rng.choices("0123456789ABCDEF", k=40))
+    assert secrets.find(f"{low}/{up}")[1] == [(0, 2, 32), (32, 3, 73)]
+    assert secrets.find(f"{up}_{low}_{up}")[1] == [(0, 3, 41), (41, 2, 73), (73, 3, 114)]
+    assert secrets.find(f"sig_{low}_end")[1] == [(4, 2, 36)]
+
+
 def test_rows(spark):
     docs = numbered(spark, [*texts(3, 4), "token=abcdefgh12", "a" * 50_000])
     rows = secrets.scan(docs).collect()

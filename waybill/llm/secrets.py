@@ -2,10 +2,11 @@
 
 Fixed patterns give the spans ``assign``, ``access`` and ``hex``. Besides them every candidate string (an unbroken run of
 letters, digits and ``+/_=-`` of at least 20 characters) slides a window of 20 over each character class it consists of:
-hexadecimal digits or the base-64 alphabet. The window's Shannon entropy is kept by adding the character that enters and
+every run of hexadecimal digits by itself, and the whole as base 64. The window's Shannon entropy is kept by adding the character that enters and
 removing the one that leaves. A candidate whose entropy reaches the class's threshold somewhere is a span ``entropy``,
 unless the allow-list suppresses it (words without digits, one repeated alphabet, UUIDs, dates and version paths,
-documented example keys) or a fixed pattern has it already.
+documented example keys) or a fixed pattern has it already. Where a fixed pattern has only a part of a candidate, what is left of it
+on either side is judged by itself.
 
 Positions are code points, end exclusive. Null texts are empty; repeated rows give equal results; an empty table gives an
 empty one. Every text is read whole, row by row, where it lies.
@@ -33,7 +34,7 @@ WINDOW = 20
 HEX_BITS = 3.0
 BASE64_BITS = 3.9
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
+_HEXADECIMAL = re.compile(rf"[0-9a-fA-F]{{{WINDOW},}}")
 _ALLOWED = re.compile(
     r"[A-Za-z/_=+-]*"  # no digit: words, paths, rules of characters
     r"|[0-9/_=+-]*"  # no letter: numbers, dates
@@ -70,9 +71,22 @@ def window_entropy(text: str, window: int = WINDOW) -> float:
 def is_random(candidate: str) -> bool:
     if _ALLOWED.fullmatch(candidate):
         return False
-    if _HEXADECIMAL.fullmatch(candidate):
-        return window_entropy(candidate) >= HEX_BITS
-    return window_entropy(candidate) >= BASE64_BITS
+    # A name or path glued to hexadecimal digits does not make them base 64, whose bound they hardly reach.
+    if any(not _ALLOWED.fullmatch(run) and window_entropy(run) >= HEX_BITS for run in _HEXADECIMAL.findall(candidate)):
+        return True
+    return not _HEXADECIMAL.fullmatch(candidate) and window_entropy(candidate) >= BASE64_BITS
+
+
+def _left(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """A candidate's parts of a window's length that no base span has; the candidate itself unless one lies inside it or around it."""
+    if not any(x <= a and b <= y or a <= x and y <= b for x, _, y in base):
+        return [(a, b)]
+    parts, at = [], a
+    for x, _, y in sorted(base):
+        if y > a and x < b:
+            parts.append((at, x))
+            at = max(at, y)
+    return [(x, y) for x, y in [*parts, (at, b)] if y - x >= WINDOW]
 
 
 def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -82,9 +96,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
     for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(x <= a and b <= y or a <= x and y <= b for x, _, y in base) and is_random(m.group()):
-            more.append((a, 3, b))
+        more += [(a, 3, b) for a, b in _left(*m.span(), base) if is_random(text[a:b])]
     return sorted(base), sorted(base + more)
 
 
