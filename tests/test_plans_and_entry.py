@@ -1,3 +1,9 @@
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +77,15 @@ def test_range_reaches_the_scan(spark):
     text = plan(runs.measured_window(
         V.events(spark, SF), F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-11").cast("timestamp")).select("ts", "value"))
     assert "GreaterThanOrEqual(ts" in text and "ReadSchema: struct<ts:timestamp_ntz,value:double>" in text
+
+
+@pytest.mark.parametrize("gone", [{"llm"}, {"llm", "corpus_pipeline.py"}])
+def test_entry_without_the_corpus_operators(tmp_path, gone):
+    here = pathlib.Path(entry.__file__).parent
+    for name in {"__spark_entry__.py", "oracle_queries.py", "corpus_pipeline.py"} - gone:
+        shutil.copy(here / name, tmp_path)
+    shutil.copytree(here / "waybill", tmp_path / "waybill", ignore=lambda d, names: [n for n in names if n in gone or n == "__pycache__"])
+    said = subprocess.run(
+        [sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), 'lifecycle_outcomes' in e.oracle_sql())"],
+        cwd=tmp_path, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert said.stdout.strip() == "True True", said.stderr
