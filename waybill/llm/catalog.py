@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybill.llm import bpe, decontam, lines, ngram_join, pii, quality, ring, secrets, substring, toxicity
+from waybill.llm import bpe, decontam, licenses, lines, ngram_join, pii, quality, ring, secrets, substring, toxicity
 from waybill.llm.common import table
 from waybill.llm.oracle import ORACLE  # noqa: F401
 
@@ -74,3 +74,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))

@@ -75,11 +75,11 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = False, alphabet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a batch, in order, and where each text's words start.
 
-    Words are runs of bytes outside [\\x20\\x09-\\x0D]; ``lower`` lower-cases A-Z first. The second
-    array has one entry more than there are texts. Works in pieces of about 1 MB cut between words, so
+    Words are runs of bytes outside [\\x20\\x09-\\x0D], or of the bytes that ``alphabet`` (256 booleans) marks; ``lower``
+    lower-cases A-Z first. The second array has one entry more than there are texts. Works in pieces of about 1 MB cut between words, so
     that memory does not follow the longest text.
     """
     texts = texts.cast(pa.large_binary())
@@ -89,7 +89,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    solid = (data != 32) & ~((data >= 9) & (data <= 13))
+    solid = (data != 32) & ~((data >= 9) & (data <= 13)) if alphabet is None else alphabet[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]

@@ -1,10 +1,19 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from waybill.llm import licenses
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Every template, clause and phrase of the license scan with its distinct tokens and the tokens it needs.
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', {percent}, ['{"', '".join(sorted({w.decode() for w in words}))}'])"
+    for i, (words, label, percent) in enumerate(
+        (*t, licenses.PERCENT) for t in licenses.clauses(licenses.TEMPLATES, licenses.STEP)))
+_PHRASES = ", ".join(f"('{label}', string_split('{text}', ' '))" for text, label in licenses.PHRASES)
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""
 WITH b AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark WHERE text IS NOT NULL),
@@ -68,4 +77,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR n_dup_lines > 0.33 * n_lines OR n_repeat_words > 0.33 * n_words
     OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 0.75 * n_lines) AS kept
 FROM v""",
+    "op11_license_scan": f"""
+WITH t(id, label, percent, tokens) AS (VALUES {_TEMPLATES}),
+p(label, ws) AS (VALUES {_PHRASES}),
+d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+places AS (
+  SELECT w.doc_id, w.i, p.label FROM w JOIN p ON w.w = p.ws[1] JOIN d USING (doc_id) WHERE d.ws[w.i + 1:w.i + len(p.ws)] = p.ws),
+base AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, unnest(CASE WHEN i >= {licenses.STEP} THEN [i // {licenses.STEP} - 1, i // {licenses.STEP}] ELSE [0] END) AS block, w FROM w),
+met AS (
+  SELECT b.doc_id, t.label, count(DISTINCT b.w) / len(any_value(t.tokens)) AS share
+  FROM blocks b JOIN (SELECT *, unnest(tokens) AS token FROM t) t ON b.w = t.token
+  GROUP BY b.doc_id, b.block, t.id, t.label HAVING 100 * count(DISTINCT b.w) >= any_value(t.percent) * len(any_value(t.tokens))),
+own AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(own.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)""",
 }
