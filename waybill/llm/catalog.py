@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waybill.llm import bpe, decontam, licenses, lines, ngram_join, periodic, pii, quality, ring, secrets, substring, toxicity
+from waybill.llm import bpe, decontam, licenses, lines, ngram_join, periodic, pii, quality, ring, secrets, substring, toxicity, variants
 from waybill.llm.common import table
 from waybill.llm.oracle import ORACLE  # noqa: F401
 
@@ -81,6 +81,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"), loop=periodic.planted_loop)
