@@ -175,7 +175,7 @@ def near_words(vocabulary: DataFrame, limit: int = LIMIT) -> DataFrame:
     ``vocabulary`` has distinct words and n.
     """
     size = F.length("word")
-    placed = vocabulary.withColumn("m", F.explode(F.array(size, size - 1))).filter("m > 0")
+    placed = vocabulary.withColumn("m", F.explode(F.array(size, size - 1))).filter("m >= 0")
     half = F.floor((F.col("m") + 1) / 2).cast("int")
     parts = _zones(placed, [(F.lit(0), half), (half, F.col("m") + 1)])
     ready = []
