@@ -292,6 +292,10 @@ _COMMITS = f"""WITH {USER_LOG}, p AS (SELECT *, lag(is_read) OVER w AS pr, lag(s
 SELECT grp AS "consumerGroup", 'batch-' || ps AS "eventId", make_timestamp(t) AS timestamp, seq FROM p WHERE NOT is_read AND pr"""
 _USER_OUTCOMES = f"WITH {USER_LOG}, {lifecycle()}"
 _BATCH_OUTCOMES = f"WITH {BATCH_LOG}, {lifecycle()}"
+_OPEN = f"""WITH {USER_LOG}, {lifecycle('(SELECT max(t) + 1000 FROM al)')}
+SELECT id AS "eventId", fgrp AS "consumerGroup", topic AS "sourceTopic", make_timestamp(ft) AS "firstSeenAt", make_timestamp(t) AS "lastSeenAt",
+  CASE WHEN fired THEN make_timestamp(tk) END AS "timedOutAt", CAST(rc AS INTEGER) AS "recordCount", CAST(n - 1 AS INTEGER) AS "replayCount",
+  CAST(tb + fired::INT AS INTEGER) AS "timeoutCount", ranges FROM g WHERE is_read AND nxt IS NULL"""
 _BEANS = [
     ("kafka_broker_bytes_in_total", "counter"), ("kafka_broker_bytes_out_total", "counter"), ("kafka_broker_messages_in_total", "counter"),
     ("kafka_under_replicated_partitions", "gauge"), ("kafka_partition_count", "gauge"), ("kafka_leader_count", "gauge"),
@@ -313,6 +317,10 @@ SELECT count(*) FILTER (is_read AND nxt IS NULL AND NOT fired) AS pending, count
   count(*) FILTER (NOT is_read AND n >= 1 AND tb = 0) AS committed, count(*) FILTER (NOT is_read AND n = 0) AS "unknownCommits" FROM g""",
     "lifecycle_streamed":
         f"WITH {USER_LOG}, {lifecycle('(SELECT max(t) // 1000 * 1000 FROM al)')} {OUTCOME_ROWS}",
+    "lifecycle_late_events":
+        f"WITH {USER_LOG}, {lifecycle('(SELECT max(t) + 1000 FROM al)')} {OUTCOME_ROWS}",
+    "open_episodes": _OPEN,
+    "pending_batches": _OPEN,
     "outcome_counters": f"""{_BATCH_OUTCOMES}, {counters()} SELECT metric, outcome, grp AS consumer_group, topic AS source_topic,
   part AS partition, CAST(sum(inc) AS BIGINT) AS value FROM st GROUP BY ALL""",
     "outcome_counter_samples":

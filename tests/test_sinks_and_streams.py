@@ -5,9 +5,9 @@ from functools import reduce
 import pytest
 from pyspark.sql import DataFrame, functions as F
 
-from tests.helpers import at, audit_rows
+from tests.helpers import at, audit_rows, seconds
 from tests.test_lifecycle import random_logs
-from waybill.operators.lifecycle import lifecycle_batch
+from waybill.operators.lifecycle import lifecycle_batch, open_episodes
 from waybill.operators.outcomes import outcome_counters
 from waybill.operators.reconcile import sink_stats
 from waybill.schemas import OUTCOME, RECORD, SAMPLE
@@ -16,7 +16,7 @@ from waybill.sinks.topics import AUDIT_PRODUCER, TopicSpec, publish, publish_str
 from waybill.functions import columns as C
 from waybill.sources import records as src
 from waybill.streaming import sinks as stream_sinks
-from waybill.streaming.lifecycle import lifecycle_stream
+from waybill.streaming.lifecycle import lifecycle_stream, pending_batches
 from waybill.streaming.rules import run_rules
 
 NOW = {"availableNow": True}
@@ -275,6 +275,44 @@ def test_streamed_lifecycle_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0
 
 
+def streamed(spark, folder, audit_parts, **options):
+    """Outcomes of a lifecycle stream that is started anew for each part."""
+    for part in audit_parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = lifecycle_stream(spark.readStream.schema(part.schema).parquet(f"{folder}/in"), **options)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(**NOW).start().awaitTermination()
+    return spark.read.schema(OUTCOME).parquet(f"{folder}/out")
+
+
+def test_events_behind_the_watermark_are_applied(spark, tmp_path):
+    beat = audit_rows(spark, "clock", [("C", 20_000)]).withColumn("stage", F.lit("HEARTBEAT"))
+    parts = [audit_rows(spark, f"at {t}", [("R", t)]) for t in (10_000, 10_100, 100)]
+    # After the clock has passed them all: a late replay does not arm the entry again, a late commit closes it.
+    parts += [beat, audit_rows(spark, "at 10000", [("R", 50)]), audit_rows(spark, "at 10100", [("C", 60)])]
+    got = {(r["eventId"], r["outcome"], seconds(r["firstSeenAt"]), seconds(r["lastSeenAt"]), seconds(r["observedAt"]))
+           for r in streamed(spark, str(tmp_path), parts).collect()}
+    assert got == {
+        ("at 100", "ESTIMATED_FAILED", 100, 100, 200), ("at 10000", "ESTIMATED_FAILED", 10_000, 10_000, 10_100),
+        ("at 10100", "ESTIMATED_FAILED", 10_100, 10_100, 10_200), ("at 10000", "REPLAY_OBSERVED", 10_000, 10_000, 50),
+        ("at 10100", "LATE_COMMIT", 10_100, 10_100, 60)}
+
+
+def test_disorder_within_the_delay_and_the_state_read_back(spark, tmp_path):
+    logs = random_logs(9, 6, 10)
+    audit = reduce(DataFrame.unionByName, [audit_rows(spark, k, log) for k, log in logs.items()])
+    end = max(t for log in logs.values() for _, t in log)
+    # Rows of any time in any part; the last part passes the end.
+    parts = [audit.where(F.pmod(F.xxhash64("eventId", "timestamp"), F.lit(3)) == k) for k in range(3)]
+    beat = audit_rows(spark, "clock", [("C", end + 10_000)]).withColumn("stage", F.lit("HEARTBEAT"))
+    got = streamed(spark, str(tmp_path), [*parts, beat], late="10000 seconds")
+    horizon = F.lit(at(end))
+    want = lifecycle_batch(audit, horizon=horizon)
+    assert got.count() == want.count() > 30 and got.exceptAll(want).count() == 0
+    left = open_episodes(audit, horizon=horizon)
+    found = pending_batches(spark, str(tmp_path / "ck"))
+    assert found.columns == left.columns and found.count() == left.count() > 2 and found.exceptAll(left).count() == 0
+
+
 def test_processing_clock_and_ttl(spark, tmp_path):
     audit_rows(spark, "a", [("R", 0), ("R", 5), ("C", 9)]).unionByName(audit_rows(spark, "b", [("R", 0)])).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("eventId string, stage string, consumerGroup string, sourceTopic string, timestamp timestamp, "

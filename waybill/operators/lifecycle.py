@@ -179,6 +179,17 @@ def lifecycle_batch(audit: DataFrame, *args, **kwargs) -> DataFrame:
     return outcomes_of(annotate(audit, *args, **kwargs))
 
 
+def open_episodes(audit: DataFrame, *args, **kwargs) -> DataFrame:
+    """Entries that the log leaves open, timed out or not: ids whose latest event is a read. Arguments as for :func:`annotate`."""
+    rows = annotate(audit, *args, **kwargs).where(F.col("_read") & F.isnull("_next"))
+    fired = F.col("_fired")
+    return rows.select(
+        "eventId", F.col("_start.grp").alias("consumerGroup"), F.col("_start.topic").alias("sourceTopic"),
+        F.timestamp_micros("_start.t").alias("firstSeenAt"), F.col("timestamp").alias("lastSeenAt"),
+        F.when(fired, F.timestamp_micros("_tick")).alias("timedOutAt"), "recordCount", (F.col("_n") - 1).cast("int").alias("replayCount"),
+        (F.col("_tb") + fired.cast("int")).cast("int").alias("timeoutCount"), F.col("partitionRanges").cast(RANGES).alias("partitionRanges"))
+
+
 def lifecycle_summary(audit: DataFrame, *args, **kwargs) -> DataFrame:
     """One row: pending, replays, estimatedFailed, lateCommits, committed, unknownCommits.
 

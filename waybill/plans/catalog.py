@@ -27,7 +27,7 @@ from waybill.sinks.topics import TopicSpec, publish
 from waybill.sources import records as src
 from waybill.sources.matrix import parse_matrix, read_matrix
 from waybill.streaming import sinks as stream_sinks
-from waybill.streaming.lifecycle import lifecycle_stream
+from waybill.streaming.lifecycle import lifecycle_stream, pending_batches as read_pending
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +111,59 @@ def lifecycle_streamed(spark, sf_dir):
     return _flat_outcomes(spark.read.schema(out.schema).parquet(path))
 
 
+def _in_parts(spark, rows: DataFrame, parts: list[Column], step: Callable[[DataFrame], None]) -> None:
+    """Write each part of ``rows`` to a folder when the one before it was streamed; every part is a start of its own."""
+    source = scratch_path(spark, "source")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(source)
+        step(spark.readStream.schema(rows.schema).parquet(source))
+
+
+def _out_of_order(spark, sf_dir) -> tuple[DataFrame, list[Column]]:
+    """The audit log in four parts of disturbed time order, and a last row that only moves the clock."""
+    log = V.audit_log(spark, sf_dir)
+    beat = log.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit("clock").alias("eventId"), F.lit("HEARTBEAT").alias("stage"), (F.col("timestamp") + F.expr("INTERVAL '25 00:00:00.001' DAY TO SECOND")).alias("timestamp"))
+    week = F.floor(F.dayofmonth("timestamp") / 8)
+    parts = [(F.col("stage") != "HEARTBEAT") & (week == w) for w in (2, 0, 3, 1)]
+    return log.unionByName(beat, allowMissingColumns=True), [*parts, F.col("stage") == "HEARTBEAT"]
+
+
+@query
+def lifecycle_late_events(spark, sf_dir):
+    """Weeks streamed out of order, with a restart before each: outcomes are those of the batch operator, and no event is lost."""
+    log, parts = _out_of_order(spark, sf_dir)
+    path, state = scratch_path(spark, "outcomes"), scratch_path(spark, "state")
+
+    def step(stream: DataFrame) -> None:
+        out = lifecycle_stream(stream, **CLOCK, late="25 days", seq="seq")
+        _run(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state))
+
+    _in_parts(spark, log, parts, step)
+    return _flat_outcomes(spark.read.parquet(path))
+
+
+@query
+def open_episodes(spark, sf_dir):
+    """Ids that are read and not committed when the log ends, with ticks up to its last event."""
+    log = V.audit_log(spark, sf_dir)
+    end = log.agg(F.max("timestamp") + F.expr("INTERVAL '0.001' SECOND")).first()[0]
+    return _flat_outcomes(L.open_episodes(log, **CLOCK, order=("timestamp", "seq"), horizon=F.lit(end)))
+
+
+@query
+def pending_batches(spark, sf_dir):
+    """The same, read from the state of a stream that was stopped and started four times."""
+    log, parts = _out_of_order(spark, sf_dir)
+    state = scratch_path(spark, "state")
+
+    def step(stream: DataFrame) -> None:
+        _run(lifecycle_stream(stream, **CLOCK, late="25 days", seq="seq").writeStream.format("noop").option("checkpointLocation", state))
+
+    _in_parts(spark, log, parts, step)
+    return _flat_outcomes(read_pending(spark, state))
+
+
 def _event_stream(spark, sf_dir) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -1,10 +1,15 @@
-"""The lifecycle as a stateful stream, one state entry per open event id."""
+"""The lifecycle as a stateful stream, one state entry per open event id.
+
+No event is lost to the watermark. Spark would drop rows whose event time is behind it, so the time column it watches is filled on rows
+of their own only (one per audit row, gone before the shuffle) and null on the events. Events ahead of the watermark wait in a
+keyed list and are taken in time order once it has passed them; events behind it are taken when they arrive.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from waybill.schemas import (
@@ -18,23 +23,34 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # while the entry is armed.
 _STATE = (
     "grp string, topic string, first bigint, last bigint, timed_out bigint, records int, replays int, timeouts int, "
-    "ranges string, timer bigint"
+    "ranges string"
 )
+#: An event that waits for the watermark.
+_EVENT = "us bigint, seq bigint, stage string, grp string, topic string, records int, ranges string"
 _OUT = (
     "eventId string, outcome string, consumerGroup string, sourceTopic string, first bigint, last bigint, observed bigint, "
     "recordCount int, replayCount int, timeoutCount int, ranges string"
 )
 
 
+def _names(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in schema.split(", ")]
+
+
 class LifecycleProcessor(StatefulProcessor):
-    """Reads arm an entry, commits close it, and a tick past the threshold times it out."""
+    """Reads arm an entry, commits close it, and a tick past the threshold times it out.
+
+    ``wait`` says whether events ahead of the watermark are held back until it has passed them.
+    """
 
-    def __init__(self, threshold_us: int, tick_us: int, ttl_us: int | None, event_time: bool):
-        self.threshold_us, self.tick_us, self.ttl_us, self.event_time = threshold_us, tick_us, ttl_us, event_time
+    def __init__(self, threshold_us: int, tick_us: int, ttl_us: int | None, event_time: bool, wait: bool):
+        self.threshold_us, self.tick_us, self.ttl_us, self.event_time, self.wait = threshold_us, tick_us, ttl_us, event_time, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.entry = handle.getValueState("pending", _STATE)
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.early = handle.getListState("early", _EVENT)
 
     def _due(self, entry: dict) -> int | None:
         """When the entry's next timer is: its timeout, or its removal once timed out."""
@@ -52,10 +68,7 @@ class LifecycleProcessor(StatefulProcessor):
         )
 
     def _load(self) -> dict | None:
-        if not self.entry.exists():
-            return None
-        names = [part.strip().split(" ")[0] for part in _STATE.split(", ")]
-        return dict(zip(names, self.entry.get()))
+        return dict(zip(_names(_STATE), self.entry.get())) if self.entry.exists() else None
 
     def _expire(self, key: str, entry: dict, now: int) -> Iterator[Row]:
         """Time the entry out when its tick has passed; ``now`` is exclusive."""
@@ -65,60 +78,116 @@ class LifecycleProcessor(StatefulProcessor):
             entry["timeouts"] += 1
             yield self._outcome(key, ESTIMATED_FAILED, entry, due)
 
-    def _settle(self, entry: dict | None, timer: int | None) -> None:
-        """Store the entry and move its only timer (``timer``, if set) to where it is due now."""
-        due = None if entry is None else self._due(entry)
+    def _take(self, key: str, entry: dict | None, events: list[dict]) -> Iterator[Row]:
+        """Apply events, which are in order; the entry they leave is in ``self.left``."""
+        for event in events:
+            at = event["us"]
+            if entry is not None and self.event_time:
+                yield from self._expire(key, entry, at)
+            if event["stage"] == BATCH_READ:
+                if entry is None:
+                    entry = {"grp": event["grp"], "topic": event["topic"], "first": at, "last": at,
+                             "timed_out": None, "records": 0, "replays": 0, "timeouts": 0, "ranges": None}
+                else:
+                    entry["replays"] += 1
+                    yield self._outcome(key, REPLAY_OBSERVED, entry, at)
+                # A read from before the last one that is known is a replay, and does not arm the entry again.
+                if at >= entry["last"]:
+                    entry.update(last=at, records=event["records"], ranges=event["ranges"], timed_out=None)
+                entry["first"] = min(entry["first"], at)
+            elif entry is not None:
+                entry["last"] = max(entry["last"], at)
+                yield self._outcome(key, LATE_COMMIT if entry["timeouts"] else COMMITTED, entry, at)
+                entry = None
+        self.left = entry
+
+    def _settle(self, entry: dict | None, early: list[dict], fired: bool = False) -> None:
+        """Store the entry and the events that wait, and move the key's only timer to where the first of them is due."""
+        times = [] if entry is None or self._due(entry) is None else [self._due(entry)]
+        times += [min(e["us"] for e in early)] if early else []
         # Timers count milliseconds; rounding up keeps a timer from firing before its tick.
-        due = None if due is None else -(-due // 1000)
+        due = -(-min(times) // 1000) if times else None
+        # The timer that fired is gone.
+        timer = self.timer.get()[0] if self.timer.exists() and not fired else None
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         if due is not None and timer != due:
             self.handle.registerTimer(due)
+        if due is not None:
+            self.timer.update((due,))
+        elif self.timer.exists():
+            self.timer.clear()
         if entry is not None:
-            self.entry.update(tuple((entry | {"timer": due}).values()))
+            self.entry.update(tuple(entry[n] for n in _names(_STATE)))
         elif self.entry.exists():
             self.entry.clear()
 
+    def _passed(self, timerValues) -> int | None:
+        """The last time the watermark has passed, where events wait for it."""
+        return timerValues.getCurrentWatermarkInMs() * 1000 if self.event_time else None
+
+    def _waiting(self) -> list[dict]:
+        return [dict(zip(_names(_EVENT), e)) for e in self.early.get()] if self.wait and self.early.exists() else []
+
+    @staticmethod
+    def _in_order(events: list[dict]) -> list[dict]:
+        return sorted(events, key=lambda e: (e["us"], e["seq"], e["stage"]))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        name = key[0]
-        entry = self._load()
-        timer = entry["timer"] if entry else None
-        # A key's rows of one micro-batch come in any order; the source's batch bound limits them.
-        for row in sorted(rows, key=lambda r: (r["_us"], r["_seq"], r["stage"])):
-            at = row["_us"]
-            if entry is not None and self.event_time:
-                yield from self._expire(name, entry, at)
-            if row["stage"] == BATCH_READ:
-                if entry is None:
-                    entry = {"grp": row["consumerGroup"], "topic": row["sourceTopic"], "first": at, "last": at,
-                             "timed_out": None, "records": 0, "replays": 0, "timeouts": 0, "ranges": None, "timer": None}
-                else:
-                    entry["replays"] += 1
-                    yield self._outcome(name, REPLAY_OBSERVED, entry, at)
-                entry.update(last=at, records=row["recordCount"], ranges=row["_ranges"], timed_out=None)
-            elif entry is not None:
-                entry["last"] = at
-                yield self._outcome(name, LATE_COMMIT if entry["timeouts"] else COMMITTED, entry, at)
-                entry = None
-        self._settle(entry, timer)
+        # A key's rows of one micro-batch come in any order; the source's batch bound limits them, and ``late`` those that wait.
+        new = [{n: row[n] for n in _names(_EVENT)} for row in rows]
+        passed = self._passed(timerValues)
+        early: list[dict] = []
+        if self.wait:
+            held = self._waiting()
+            early = [e for e in new if e["us"] > passed]
+            if early:
+                self.early.appendList([tuple(e.values()) for e in early])
+            new = [e for e in new if e["us"] <= passed]
+            early += held
+            if new:
+                # Behind the watermark: together with what has waited long enough, so that order is kept among them.
+                new += [e for e in held if e["us"] <= passed]
+                early = [e for e in early if e["us"] > passed]
+                self._hold(early)
+        yield from self._take(key[0], self._load(), self._in_order(new))
+        entry = self.left
+        if entry is not None and self.event_time:
+            yield from self._expire(key[0], entry, passed + 1)
+        self._settle(entry, early)
+
+    def _hold(self, early: list[dict]) -> None:
+        if early:
+            self.early.put([tuple(e.values()) for e in early])
+        elif self.early.exists():
+            self.early.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         entry = self._load()
-        if entry is None:
-            return
-        if entry["timed_out"] is not None:
-            self.entry.clear()
-            return
+        early: list[dict] = []
         if self.event_time:
-            yield from self._expire(key[0], entry, expiredTimerInfo.getExpiryTimeInMs() * 1000 + 1)
-        else:
+            passed = self._passed(timerValues)
+            held = self._waiting()
+            due = [e for e in held if e["us"] <= passed]
+            early = [e for e in held if e["us"] > passed]
+            if due:
+                self._hold(early)
+            yield from self._take(key[0], entry, self._in_order(due))
+            entry = self.left
+            if entry is not None:
+                yield from self._expire(key[0], entry, passed + 1)
+                over = self._due(entry)
+                if entry["timed_out"] is not None and over is not None and over <= passed:
+                    entry = None
+        elif entry is not None and entry["timed_out"] is not None:
+            entry = None
+        elif entry is not None:
             # By the wall clock the entry times out at the tick that finds it, which a lagging stream runs late.
             now = timerValues.getCurrentProcessingTimeInMs() * 1000
             entry["timed_out"] = now - now % self.tick_us
             entry["timeouts"] += 1
             yield self._outcome(key[0], ESTIMATED_FAILED, entry, entry["timed_out"])
-        # The timer that fired is gone.
-        self._settle(entry, None)
+        self._settle(entry, early, fired=True)
 
     def close(self) -> None:
         pass
@@ -136,28 +205,35 @@ def lifecycle_stream(
 ) -> DataFrame:
     """Outcomes of a streaming audit log.
 
-    ``clock="event"`` runs ticks on the watermark, which trails the latest event by ``late``; events
-    older than the watermark are dropped by Spark. ``clock="processing"`` runs ticks on the wall clock and
-    drops nothing; Spark then always has a next batch, so run it with a time trigger and not with
-    ``availableNow``. ``seq`` names the column that orders equal timestamps (a topic offset, say). Entries
-    that timed out and are never committed stay in the state unless ``ttl`` is set.
+    ``clock="event"`` runs ticks on the watermark, which trails the latest audit row of any stage by ``late``. Events up to ``late`` out
+    of order are put in order first, so that outcomes are those of the batch operator; events later than that are applied when
+    they come, at their own time, and none is dropped. With ``late`` of zero events are applied as they come, a key's in order
+    within a micro-batch. ``clock="processing"`` runs ticks on the wall clock; Spark then always has a next batch, so run it
+    with a time trigger and not with ``availableNow``. ``seq`` names the column that orders equal timestamps (a topic offset,
+    say). Rows without a time are no events. Entries that timed out and are never committed stay in the state unless ``ttl`` is set.
     """
     if clock not in ("event", "processing"):
         raise ValueError("clock is 'event' or 'processing'")
     event_time = clock == "event"
     audit.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = audit.where(F.col("stage").isin(BATCH_READ, OFFSET_COMMITTED))
+    timed = F.col("timestamp").isNotNull()
+    event = timed & F.col("stage").isin(BATCH_READ, OFFSET_COMMITTED)
+    columns = [
+        F.col("eventId"), F.unix_micros("timestamp").alias("us"),
+        (F.coalesce(F.col(seq).cast("bigint"), F.lit(0)) if seq else F.lit(0).cast("bigint")).alias("seq"), F.col("stage"),
+        F.col("consumerGroup").alias("grp"), F.col("sourceTopic").alias("topic"), F.col("recordCount").alias("records"),
+        F.to_json("partitionRanges").alias("ranges"),
+    ]
     if event_time:
-        rows = rows.withWatermark("timestamp", late)
-    rows = rows.select(
-        "eventId", "stage", "consumerGroup", "sourceTopic", "timestamp", "recordCount",
-        F.to_json("partitionRanges").alias("_ranges"),
-        F.unix_micros("timestamp").alias("_us"),
-        (F.coalesce(F.col(seq).cast("bigint"), F.lit(0)) if seq else F.lit(0).cast("bigint")).alias("_seq"),
-    )
+        # A row that moves the clock, and an event that has none. Only the test of the clock itself stays above the watermark.
+        marks = F.array_compact(F.array(
+            F.when(timed, F.struct(F.col("timestamp").alias("clock"))), F.when(event, F.struct(F.lit(None).cast("timestamp").alias("clock")))))
+        rows = audit.select(*columns, F.explode(marks).alias("_mark")).select("*", F.col("_mark.clock").alias("_clock")).drop("_mark")
+        rows = rows.withWatermark("_clock", late).where(F.col("_clock").isNull())
+    else:
+        rows = audit.where(event).select(*columns)
     processor = LifecycleProcessor(
-        micros(timeout) + micros(extra), micros(tick), None if ttl is None else micros(ttl), event_time
-    )
+        micros(timeout) + micros(extra), micros(tick), None if ttl is None else micros(ttl), event_time, event_time and micros(late) > 0)
     out = rows.groupBy("eventId").transformWithState(
         processor, _OUT, "Append", "EventTime" if event_time else "ProcessingTime"
     )
@@ -166,3 +242,20 @@ def lifecycle_stream(
     return out.withColumn("partitionRanges", F.from_json("ranges", RANGES)).select(
         *[f.name for f in OUTCOME.fields]
     )
+
+
+def pending_batches(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The open entries in the state of a lifecycle stream, as of its last finished micro-batch.
+
+    Reads the checkpoint itself with Spark's state source, in as many tasks as the state has partitions, whether the stream runs,
+    has stopped or failed. Columns are those of ``lifecycle.open_episodes``; events that still wait for the watermark are not in it.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "pending").load()
+    v = "value."
+    return state.select(
+        F.col("key.eventId").alias("eventId"), F.col(v + "grp").alias("consumerGroup"), F.col(v + "topic").alias("sourceTopic"),
+        F.timestamp_micros(v + "first").alias("firstSeenAt"), F.timestamp_micros(v + "last").alias("lastSeenAt"),
+        F.timestamp_micros(v + "timed_out").alias("timedOutAt"), F.col(v + "records").alias("recordCount"),
+        F.col(v + "replays").alias("replayCount"), F.col(v + "timeouts").alias("timeoutCount"),
+        F.from_json(v + "ranges", RANGES).alias("partitionRanges"))
