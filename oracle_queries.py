@@ -469,7 +469,8 @@ WHERE t % 2 = 0 GROUP BY 1""",
     "container_memory": rules("kafka_broker_container_memory_mb", "kafka_cluster_container_memory_gb"),
     "jvm_memory": rules("jvm_heap_used_gb", "jvm_non_heap_used_gb"),
     "host_usage": rules("host_cpu_busy_percent", "host_memory_used_percent"),
-    "recorded_rules": named({n: RULES[n] for n in ("kafka_cluster_messages_per_sec", "kafka_broker_container_memory_mb")}, EVALUATED, "metric"),
+    "recorded_rules": named(RULES, EVALUATED, "metric"),
+    "rules_streamed": f"SELECT * FROM ({named(RULES, EVALUATED, 'metric')}) WHERE ts <= (SELECT max(ts) FROM events)",
     "export_queries": named(EXPORTS, WITH_COUNTERS),
     "dashboard_panels": named(PANELS, WITH_COUNTERS),
     "failure_rate_panel": f"""{_BATCH_OUTCOMES}, {counter_series(300_000_000)}, {increase('i15', 900_000_000, 300_000_000, 'cs')},

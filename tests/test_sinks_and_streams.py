@@ -17,7 +17,9 @@ from waybill.functions import columns as C
 from waybill.sources import records as src
 from waybill.streaming import sinks as stream_sinks
 from waybill.streaming.lifecycle import lifecycle_stream, pending_batches
-from waybill.streaming.rules import run_rules
+from waybill.operators.series import Grid
+from waybill.plans.rules import Evaluation, recorded
+from waybill.streaming.rules import read_recorded, run_rules
 
 NOW = {"availableNow": True}
 
@@ -344,3 +346,28 @@ def test_rules_stream(spark, tmp_path):
     assert len(rows) == 120 and spark.read.parquet(str(tmp_path / "store")).count() == 120
     # Full windows, also those that reach back into the batch before.
     assert all(r["value"] == pytest.approx(10 * 295 / 300) for r in rows[61:])
+
+
+def test_rules_stream_records_each_grid_time_once(spark, tmp_path):
+    def scraped(times, offset=0.0):
+        return [("kafka_broker_messages_in_total", {"instance": f"kafka-{k}"}, at(t + offset), 10.0 * t + k, "counter") for t in times for k in (1, 2)]
+
+    batches = [scraped(range(13)), scraped(range(13, 22)), scraped([60]), scraped([61, 400, 1000]), scraped([28, 33], 0.5), scraped([3], 0.25)]
+    names = ["kafka_cluster_messages_per_sec"]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, SAMPLE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SAMPLE).parquet(str(tmp_path / "in"))
+        # The last batch comes with a checkpoint of its own, which reads all of them again.
+        run_rules(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / f"ck{k // 5}"), names, trigger=NOW).awaitTermination()
+        every = spark.createDataFrame([r for b in batches[: k + 1] for r in b], SAMPLE)
+        last = max(r[2] for b in batches[: k + 1] for r in b)
+        want = sorted((seconds(r["ts"]), round(r["value"], 9)) for r in recorded(Evaluation(every, Grid(at(0), last, "5 seconds")), names).collect())
+        got = sorted((seconds(r["ts"]), round(r["value"], 9)) for r in read_recorded(spark, str(tmp_path / "out")).collect())
+        assert got == want
+        if k == 3:
+            # Each time was written by one batch only, as nothing was late so far.
+            assert spark.read.parquet(str(tmp_path / "out")).count() == len(got) and {15, 30, 55} <= {t for t, _ in got}
+        if k == 4:
+            again = spark.read.parquet(str(tmp_path / "out")).where("batch_id = 4").select(F.unix_seconds("ts")).collect()
+            # Late samples at 28.5 and 33.5 touch two cells of 300 s; the later times are left as they are.
+            assert {t // 300 for t, in again} == {0, 1} and max(t for t, _ in got) == 1000

@@ -28,6 +28,7 @@ from waybill.sources import records as src
 from waybill.sources.matrix import parse_matrix, read_matrix
 from waybill.streaming import sinks as stream_sinks
 from waybill.streaming.lifecycle import lifecycle_stream, pending_batches as read_pending
+from waybill.streaming.rules import read_recorded, run_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -772,10 +773,26 @@ def _all_samples(spark, sf_dir) -> DataFrame:
 @query
 def recorded_rules(spark, sf_dir):
     """Rules recorded as samples, then read again through the recorded series."""
-    recorded = rules.recorded(_evaluation(spark, sf_dir, keep=True), ["kafka_cluster_messages_per_sec", "kafka_broker_container_memory_mb"])
+    recorded = rules.recorded(_evaluation(spark, sf_dir, keep=True))
     return _flat(S.instant(recorded, GRID, "1 hour"), "metric")
 
 
+@query
+def rules_streamed(spark, sf_dir):
+    """All rules recorded by a stream over uneven batches: two days, one without half its hours, the rest, and then the hours left out."""
+    store, out, state = (scratch_path(spark, n) for n in ("samples", "recorded", "state"))
+    day, hour = F.dayofmonth("ts"), F.hour("ts")
+    missing = (day >= 3) & (day <= 9) & (hour % 2 == 1)
+    parts = [day <= 2, (day == 3) & ~missing, ((day > 3) & ~missing), missing]
+
+    def step(stream: DataFrame) -> None:
+        run_rules(stream, store, out, state, interval="1 hour", trigger={"availableNow": True}, rate_window=WINDOW, lookback=WINDOW,
+                  keep=True).awaitTermination()
+
+    _in_parts(spark, V.samples(spark, sf_dir), parts, step)
+    return _flat(read_recorded(spark, out), "metric")
+
+
 @query
 def export_queries(spark, sf_dir):
     e = rules.Evaluation(_all_samples(spark, sf_dir), GRID, WINDOW, WINDOW, keep=True)
