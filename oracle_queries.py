@@ -296,6 +296,8 @@ _OPEN = f"""WITH {USER_LOG}, {lifecycle('(SELECT max(t) + 1000 FROM al)')}
 SELECT id AS "eventId", fgrp AS "consumerGroup", topic AS "sourceTopic", make_timestamp(ft) AS "firstSeenAt", make_timestamp(t) AS "lastSeenAt",
   CASE WHEN fired THEN make_timestamp(tk) END AS "timedOutAt", CAST(rc AS INTEGER) AS "recordCount", CAST(n - 1 AS INTEGER) AS "replayCount",
   CAST(tb + fired::INT AS INTEGER) AS "timeoutCount", ranges FROM g WHERE is_read AND nxt IS NULL"""
+_ONE = """WITH one AS (SELECT 'events_total' AS metric, '{}' AS key, '' AS inst, '' AS cid, '' AS svc, '' AS cname, '' AS cpu, '' AS mode,
+  epoch_us(ts) AS t, CAST(event_id % 4001 AS DOUBLE) AS v FROM events)"""
 _BEANS = [
     ("kafka_broker_bytes_in_total", "counter"), ("kafka_broker_bytes_out_total", "counter"), ("kafka_broker_messages_in_total", "counter"),
     ("kafka_under_replicated_partitions", "gauge"), ("kafka_partition_count", "gauge"), ("kafka_leader_count", "gauge"),
@@ -448,6 +450,8 @@ FROM events GROUP BY 1""",
 WHERE t % 2 = 0 GROUP BY 1""",
     "increase_6h": f"WITH {SAMPLES}, {increase('x', _W, HOUR)} {vector('x', 'metric')}",
     "increase_hot_series": f"WITH {SAMPLES}, {increase('x', 72 * HOUR, 24 * HOUR)} {vector('x', 'metric')}",
+    "increase_long_series": f"{_ONE}, {increase('x', 900_000_000, 300_000_000, 'one')} {vector('x', 'metric')}",
+    "instant_long_series": f"{_ONE}, {instant('x', HOUR, 300_000_000, 'one')} {vector('x', 'metric')}",
     "increase_15m": f"WITH {SAMPLES}, {increase('x', 900_000_000, 300_000_000)} {vector('x', 'metric')}",
     "rate_5m": f"WITH {SAMPLES}, {increase('x', 300_000_000, 300_000_000, per_second=True)} {vector('x', 'metric')}",
     "rate_uneven_step": f"WITH {SAMPLES}, {increase('x', 3_000_000_000, 2 * HOUR, per_second=True)} {vector('x', 'metric')}",

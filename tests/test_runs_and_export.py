@@ -134,3 +134,28 @@ def test_idle_subtraction_and_comparison(spark):
     table = {r["metric"]: r for r in runs.compare_runs(means, "idle", ["a", "b"]).collect()}
     assert table["cpu"]["a_overhead_percent"] == 200.0 and table["cpu"]["b_overhead_percent"] == 100.0
     assert table["mem"]["a"] == 1.0 and table["mem"]["a_overhead_percent"] is None
+
+
+def test_shared_rules_are_made_once_from_the_metrics_they_reach(spark, monkeypatch):
+    rows = [("container_cpu_usage_seconds_total", {"id": rules.BROKER_CONTAINERS["kafka-1"], "name": "x"}, at(t), t / 10, "counter") for t in range(0, 500, 5)]
+    rows += [("node_cpu_seconds_total", {"cpu": "0", "mode": "idle"}, at(t), t / 10, "counter") for t in range(0, 500, 5)]
+    made, asked = [], []
+    original, rate = rules.RULES["kafka_broker_cpu_percent"], rules.S.rate
+    monkeypatch.setitem(rules.RULES, "kafka_broker_cpu_percent", lambda e: made.append(isinstance(e, rules._Probe)) or original(e))
+    monkeypatch.setattr(rules.S, "rate", lambda df, *a, **k: asked.append(df) or rate(df, *a, **k))
+    names = ["kafka_broker_cpu_percent", "kafka_cluster_cpu_percent", "kafka_cluster_cpu_cores", "kafka_cluster_cpu_host_percent"]
+    for keep in (False, True):
+        made.clear(), asked.clear()
+        e = rules.Evaluation(spark.createDataFrame(rows, SAMPLE), Grid(at(400), at(500), "50 seconds"), keep=keep)
+        out = rules.evaluate(e, rules.RULES, names)
+        assert made.count(False) == 1 and made.count(True) == 1 and len(asked) == 1
+        # Of the counters only the containers' is evaluated.
+        assert {r["metric"] for r in asked[0].select("metric").distinct().collect()} == {"container_cpu_usage_seconds_total"}
+        assert "node_cpu_seconds_total" not in asked[0]._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+        found = {r["query"]: r["value"] for r in out.where(F.col("ts") == F.lit(at(450))).collect()}
+        assert found["kafka_broker_cpu_percent"] == found["kafka_cluster_cpu_percent"] == pytest.approx(100 * 0.1 * 295 / 300)
+        assert found["kafka_cluster_cpu_host_percent"] == found["kafka_cluster_cpu_percent"]
+        # Where rules are kept, the union reads the written vector and rewrites no labels any more.
+        assert ("RLIKE" in out._jdf.queryExecution().optimizedPlan().toString()) != keep
+    e.plan([lambda e: e.rate("kafka_broker_bytes_in_total")])
+    assert e.rate("kafka_broker_bytes_in_total").count() == 0 and len(asked) == 2

@@ -60,6 +60,26 @@ def test_increase_against_brute_force(spark, window, step, hot_rows):
     assert values(out.where("labels['i'] = 'b'")) == brute_increase([(t, 2 * v) for t, v in points[::3]], window, 100, 520, step)
 
 
+@pytest.mark.parametrize("range_slices", [1, 4, 30])
+def test_long_series_in_ranges(spark, range_slices):
+    rng = random.Random(range_slices)
+    points, v = [], 0
+    for t in sorted(rng.sample([*range(0, 200), *range(380, 600)], 150)):
+        v = rng.randrange(5) if rng.random() < 0.2 else v + rng.randrange(20)
+        points.append((t + rng.choice([0, 0.5]), v))
+    df = samples(spark, points).withColumn("metric", F.lit(None).cast("string")).unionByName(samples(spark, points[::7], labels={"i": "b"}))
+    g = grid(50, 560, 10)
+    out = S.increase(df, "35 seconds", g, range_slices, hot_rows=5)
+    assert values(out.where("labels['i'] = 'a'")) == brute_increase(points, 35, 50, 560, 10)
+    assert values(out.where("labels['i'] = 'b'")) == brute_increase(points[::7], 35, 50, 560, 10)
+    held, whole = S.instant(df, g, "45 seconds", range_slices), S.instant(df, g, "45 seconds")
+    assert sorted(map(str, held.collect())) == sorted(map(str, whole.collect())) and held.count() > 50
+    # The windows over pieces are partitioned by range; only those over ranges are partitioned by series.
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line and "_slice#" in line]
+    assert windows and all("_range#" in line for line in windows)
+
+
 def test_large_counters_stay_exact(spark):
     # Small steps of a very large counter survive, because values are subtracted and not summed up.
     points = [(t, 8e15 + t) for t in range(0, 65, 5)]

@@ -3,7 +3,9 @@
 Samples are reduced to *pieces* before anything is ordered along a whole series. A piece holds what
 a fixed slice of time (the greatest common divisor of window and step) contributes, so a series is
 ordered over its slices and not over its samples, and a slice that is itself very large is cut into
-several pieces. Which grid points a piece opens or closes follows from its neighbours, so every
+several pieces. A series of very many slices is cut into ranges of them: each range is ordered by itself, one row per range says
+what it holds (first and last slice and value, loss), and a scan of these rows gives every range what it takes over from
+earlier ones, so that no task orders a series whole. Which grid points a piece opens or closes follows from its neighbours, so every
 output row is produced directly: no join of samples with grid points and no sliding frame.
 """
 
@@ -18,7 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waybill.functions import columns as C
 from waybill.operators.ordered import SEG, Ordered
-from waybill.session import BROADCAST_ROWS, micros
+from waybill.session import BROADCAST_ROWS, cut_lineage, micros
+
+#: A series of more slices than this is ordered range by range.
+RANGE_SLICES = 1_000_000
 
 
 def _epoch_us(at: str | datetime) -> int:
@@ -82,6 +87,11 @@ class _Slices:
     def per_step(self) -> int:
         return self.grid.step_us // self.size
 
+    @property
+    def total(self) -> int:
+        """Slices from the first window's beginning to the last grid time: no series has more."""
+        return (self.grid.end_us - self.grid.start_us + self.window_us) // self.size
+
     def cut(self, samples: DataFrame) -> DataFrame:
         """Samples some window can see, with their series key, time and slice number (from 1)."""
         before = self.grid.start_us - self.window_us
@@ -121,7 +131,27 @@ def _lost(value: Column, previous: Column) -> Column:
     return F.when(value < previous, previous).otherwise(0.0)
 
 
-def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
+_SERIES = ["metric", "_key"]
+
+
+def _ranged(pieces: DataFrame, slices: _Slices, range_slices: int) -> tuple[DataFrame, list[str]]:
+    """Pieces with the range they are in, written once where there are several ranges, and the columns to order them by."""
+    if slices.total <= range_slices:
+        return pieces, _SERIES
+    return cut_lineage(pieces.withColumn("_range", F.expr(f"_slice div {range_slices}"))), [*_SERIES, "_range"]
+
+
+def _with_ranges(pieces: DataFrame, table: DataFrame, steps: Sequence[dict[str, Column]], keep: Sequence[str]) -> DataFrame:
+    """Pieces with what their range takes over. ``table`` has one row per series and range, ``steps`` are windows over a series of these."""
+    for step in steps:
+        table = table.withColumns(step)
+    on = [*_SERIES, "_range"]
+    table = table.select(*(F.col(c).alias(f"_of_{c}") for c in on), *keep)
+    match = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    return pieces.join(table, match).drop(*(f"_of_{c}" for c in on))
+
+
+def increase(samples: DataFrame, window: str, grid: Grid, range_slices: int = RANGE_SLICES, **split) -> DataFrame:
     """Counter growth in ``(T - window, T]`` at each grid time T, per series.
 
     Sums the differences of consecutive samples inside the window; a drop counts as a restart and adds
@@ -141,7 +171,8 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
         F.max(F.when(F.isnull("_next"), F.col("value"))).alias("_last"),
         F.sum(_lost(F.col("value"), F.col("_prev"))).alias("_inner"),
     )
-    series = Window.partitionBy("metric", "_key").orderBy("_slice", SEG)
+    pieces, by = _ranged(pieces, slices, range_slices)
+    series = Window.partitionBy(*by).orderBy("_slice", SEG)
     pieces = pieces.withColumns({
         "_between": _lost(F.col("_first"), F.lag("_last").over(series)),
         "_before": F.lag("_slice").over(series),
@@ -149,6 +180,18 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     })
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("_lost", F.sum(F.col("_between") + F.col("_inner")).over(upto))
+    if by != _SERIES:
+        at, over = F.struct("_slice", SEG), Window.partitionBy(*_SERIES).orderBy("_range")
+        table = pieces.groupBy(*by).agg(
+            F.min("_slice").alias("_low"), F.max("_slice").alias("_high"), F.min_by("_first", at).alias("_first"),
+            F.max_by("_last", at).alias("_last"), F.max_by("_lost", at).alias("_loss"))
+        pieces = _with_ranges(pieces, table, [
+            {"_in_slice": F.lag("_high").over(over), "_next_slice": F.lead("_low").over(over), "_edge": _lost(F.col("_first"), F.lag("_last").over(over))},
+            {"_in_lost": F.col("_edge") + F.coalesce(
+                F.sum(F.col("_edge") + F.col("_loss")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))},
+        ], ["_in_slice", "_next_slice", "_in_lost"])
+        pieces = pieces.withColumns({
+            "_before": F.coalesce("_before", "_in_slice"), "_after": F.coalesce("_after", "_next_slice"), "_lost": F.col("_lost") + F.col("_in_lost")})
     opened = slices.opened_by(F.col("_slice"), F.col("_before"))
     closed = slices.closed_by(F.col("_slice"), F.col("_after"))
     marks = pieces.select(
@@ -159,7 +202,7 @@ def increase(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     def end(test: Column, value: Column) -> Column:
         return F.max(F.when(test, value))
 
-    # Still partitioned by series, so this grouping does not shuffle. Values and losses are
+    # Still partitioned by series (unless that is cut into ranges), so this grouping does not shuffle. Values and losses are
     # subtracted apart: a counter that never restarts gives the exact difference.
     ends = marks.groupBy("metric", "_key", "i").agg((
         (end(closes, F.col("_last")) - end(opens, F.col("_first")))
@@ -174,13 +217,19 @@ def rate(samples: DataFrame, window: str, grid: Grid, **split) -> DataFrame:
     return grown.withColumn("value", F.col("value") / (micros(window) / 1e6))
 
 
-def instant(samples: DataFrame, grid: Grid, lookback: str = "5 minutes") -> DataFrame:
+def instant(samples: DataFrame, grid: Grid, lookback: str = "5 minutes", range_slices: int = RANGE_SLICES) -> DataFrame:
     """Latest value in ``(T - lookback, T]`` at each grid time T, per series."""
     slices = _Slices(grid, micros(lookback))
     # Combined before the shuffle: one row per series and slice leaves each task.
     pieces = slices.cut(samples).groupBy("metric", "_key", "_slice").agg(F.max_by("value", "_t").alias("value"))
-    after = F.lead("_slice").over(Window.partitionBy("metric", "_key").orderBy("_slice"))
-    held = pieces.withColumn("_after", after).select(
+    pieces, by = _ranged(pieces, slices, range_slices)
+    pieces = pieces.withColumn("_after", F.lead("_slice").over(Window.partitionBy(*by).orderBy("_slice")))
+    if by != _SERIES:
+        next_slice = F.lead("_low").over(Window.partitionBy(*_SERIES).orderBy("_range"))
+        table = pieces.groupBy(*by).agg(F.min("_slice").alias("_low"))
+        pieces = _with_ranges(pieces, table, [{"_next_slice": next_slice}], ["_next_slice"])
+        pieces = pieces.withColumn("_after", F.coalesce("_after", "_next_slice"))
+    held = pieces.select(
         "metric", "_key", "value", F.explode(slices.closed_by(F.col("_slice"), F.col("_after"))).alias("_i")
     )
     return held.select("metric", C.labels_from_key(F.col("_key")).alias("labels"), grid.at(F.col("_i")).alias("ts"), "value")

@@ -663,6 +663,24 @@ def increase_hot_series(spark, sf_dir):
     return _flat(S.increase(V.samples(spark, sf_dir), "3 days", daily, hot_rows=15), "metric")
 
 
+def _one_series(spark, sf_dir) -> DataFrame:
+    """Every event as a sample of one counter."""
+    return V.events(spark, sf_dir).select(
+        F.lit("events_total").alias("metric"), F.create_map().cast("map<string,string>").alias("labels"), "ts",
+        (F.col("event_id") % 4001).cast("double").alias("value"))
+
+
+@query
+def increase_long_series(spark, sf_dir):
+    """One series in ranges of a day, each ordered by itself."""
+    return _flat(S.increase(_one_series(spark, sf_dir), "15 minutes", FINE, range_slices=288), "metric")
+
+
+@query
+def instant_long_series(spark, sf_dir):
+    return _flat(S.instant(_one_series(spark, sf_dir), FINE, "1 hour", range_slices=288), "metric")
+
+
 @query
 def increase_15m(spark, sf_dir):
     return _flat(S.increase(V.samples(spark, sf_dir), "15 minutes", FINE), "metric")

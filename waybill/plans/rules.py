@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -85,11 +86,11 @@ def project_beans(raw: DataFrame) -> DataFrame:
 
 
 class Evaluation:
-    """Samples seen on a grid. Rules ask it for rates, increases and instant values of one metric.
+    """Samples seen on a grid. Rules ask it for rates, increases and instant values of one metric, and for other rules.
 
-    With ``keep`` the evaluated series (one row per series and grid point, however many samples
-    lie behind them) are written once to the shared folder, so that rules that share inputs do
-    not scan the samples again.
+    With ``keep`` what several rules share is written once to the shared folder: the evaluated series (one row per series and grid
+    point, however many samples lie behind them) and the rules that others read. ``plan`` finds out beforehand what is asked for,
+    so that only metrics are evaluated that some rule reaches, and only what is shared is written.
     """
 
     def __init__(
@@ -107,12 +108,27 @@ class Evaluation:
         self.selectors = default_selectors() if selectors is None else selectors
         self.keep = keep
         self._kept: dict[str, DataFrame] = {}
+        self._rules: dict[str, DataFrame] = {}
+        self._uses: Counter | None = None
+
+    def plan(self, plans: Iterable[Callable[[Evaluation], DataFrame]]) -> None:
+        """Learn what the plans ask for by making them on vectors without rows."""
+        probe = _Probe(self)
+        for make in plans:
+            make(probe)
+        before, self._uses = self._uses, probe.uses + (self._uses or Counter())
+        # What was evaluated for an earlier plan may lack metrics of this one.
+        for kind in {kind for kind, name in probe.uses if before is not None and not before[kind, name]}:
+            self._kept.pop(kind, None)
 
     def _evaluated(self, name: str, metrics: tuple[str, ...], evaluate_: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """All metrics of one kind in one pass; a later filter on metric or labels moves below it."""
+        """All metrics of one kind that are asked for in one pass; a later filter on metric or labels moves below it."""
         if name not in self._kept:
-            out = evaluate_(self.samples.where(F.col("metric").isin(*metrics)))
-            self._kept[name] = cut_lineage(out) if self.keep else out
+            asked = [m for m in metrics if self._uses is None or self._uses[name, m]]
+            out = evaluate_(self.samples.where(F.col("metric").isin(*(asked or metrics))))
+            shared = self._uses is None or sum(self._uses[name, m] for m in asked) > 1
+            # In the order of metrics, so that a rule reads the row groups of its own.
+            self._kept[name] = cut_lineage(out.sortWithinPartitions("metric")) if self.keep and shared else out
         return self._kept[name]
 
     def _pick(self, evaluated: DataFrame, metric: str, eq: dict[str, str] | None) -> DataFrame:
@@ -134,13 +150,44 @@ class Evaluation:
         return self._pick(held, metric, eq)
 
     def rule(self, name: str) -> DataFrame:
-        return RULES[name](self)
+        """The rule's vector, made once; written where several others read it."""
+        if name not in self._rules:
+            out = RULES[name](self)
+            shared = self.keep and self._uses is not None and self._uses["rule", name] > 1
+            self._rules[name] = cut_lineage(out) if shared else out
+        return self._rules[name]
 
     def over(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Divide by a series without labels."""
         return S.vector_op(left, right, "/", on=[], points=self.grid.points)
 
 
+class _Probe(Evaluation):
+    """Stands in for an evaluation and counts what is asked of it; a rule asks for its inputs once."""
+
+    def __init__(self, of: Evaluation):
+        super().__init__(of.samples, of.grid, of.rate_window, of.lookback, of.selectors)
+        self.uses: Counter = Counter()
+        self._none = of.samples.sparkSession.createDataFrame([], "labels map<string,string>, ts timestamp, value double")
+
+    def _asked(self, kind: str, metric: str) -> DataFrame:
+        self.uses[kind, metric] += 1
+        return self._none
+
+    def rate(self, metric: str, eq: dict[str, str] | None = None) -> DataFrame:
+        return self._asked("rate", metric)
+
+    def increase(self, metric: str, window: str, eq: dict[str, str] | None = None) -> DataFrame:
+        return self._asked(f"increase {window}", metric)
+
+    def instant(self, metric: str, eq: dict[str, str] | None = None) -> DataFrame:
+        return self._asked("instant", metric)
+
+    def rule(self, name: str) -> DataFrame:
+        self.uses["rule", name] += 1
+        return RULES[name](self) if self.uses["rule", name] == 1 else self._none
+
+
 def _throughput(e: Evaluation) -> DataFrame:
     return S.vector_op(e.rate("kafka_broker_bytes_in_total"), e.rate("kafka_broker_bytes_out_total"), "+")
 
@@ -236,9 +283,10 @@ PANELS: dict[str, Callable[[Evaluation], DataFrame]] = {
 
 def evaluate(e: Evaluation, plans: dict[str, Callable[[Evaluation], DataFrame]], names: list[str] | None = None) -> DataFrame:
     """The named plans as one table with a ``query`` column."""
-    parts = [
-        plans[name](e).select(F.lit(name).alias("query"), "labels", "ts", "value") for name in (names or list(plans))
-    ]
+    # A plan that is a rule is asked for as one, so that other rules share it.
+    chosen = {name: (lambda e, n=name: e.rule(n)) if plans is RULES else plans[name] for name in (names or list(plans))}
+    e.plan(chosen.values())
+    parts = [make(e).select(F.lit(name).alias("query"), "labels", "ts", "value") for name, make in chosen.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
