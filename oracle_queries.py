@@ -7,6 +7,7 @@ from __future__ import annotations
 
 HOUR = 3_600_000_000
 START, END = 1_704_067_200_000_000, 1_706_659_200_000_000  # 2024-01-01 and 2024-01-31
+# The recorded containers of the three brokers.
 BROKER_PATHS = (
     "/docker/eb89133e6713d59534cad8060c0dc1a504aa615100a1b9890972f544ee45954a",
     "/docker/b28a2bfc13fcebda950895c9b5d805fa79405c081cbcb374d0adee1bbfc3b4e4",
@@ -298,6 +299,23 @@ SELECT id AS "eventId", fgrp AS "consumerGroup", topic AS "sourceTopic", make_ti
   CAST(tb + fired::INT AS INTEGER) AS "timeoutCount", ranges FROM g WHERE is_read AND nxt IS NULL"""
 _ONE = """WITH one AS (SELECT 'events_total' AS metric, '{}' AS key, '' AS inst, '' AS cid, '' AS svc, '' AS cname, '' AS cpu, '' AS mode,
   epoch_us(ts) AS t, CAST(event_id % 4001 AS DOUBLE) AS v FROM events)"""
+# --- fixed values: the names of recorded series and the expressions of the others ---
+_RECORDED = {
+    "cluster_messages_per_sec": "kafka_cluster_messages_per_sec", "cluster_bytes_in_kb_per_sec": "kafka_cluster_bytes_in_kb_per_sec",
+    "cluster_bytes_out_kb_per_sec": "kafka_cluster_bytes_out_kb_per_sec", "cluster_cpu_host_percent": "kafka_cluster_cpu_host_percent",
+    "cluster_cpu_cores": "kafka_cluster_cpu_cores", "cluster_cpu_core_percent": "kafka_cluster_cpu_percent",
+    "cluster_memory_gb": "kafka_cluster_container_memory_gb",
+}
+_EXPRESSIONS = {
+    "audit_committed_total": 'sum(audit_outcomes_total{outcome="COMMITTED"})',
+    "audit_replay_observed_total": 'sum(audit_outcomes_total{outcome="REPLAY_OBSERVED"})',
+    "audit_estimated_failed_total": 'sum(audit_outcomes_total{outcome="ESTIMATED_FAILED"})',
+    "audit_late_commit_total": 'sum(audit_outcomes_total{outcome="LATE_COMMIT"})',
+    "audit_batches_seen_total": "sum(audit_batches_seen_total)",
+}
+_PROMQL = ", ".join(f"'{q} = {text}'" for q, text in (_RECORDED | _EXPRESSIONS).items())
+_EXPORTED = " UNION ALL ".join(f"SELECT '{_RECORDED.get(q, '')}' AS metric, labels, g, value FROM ({sql})" for q, sql in EXPORTS.items())
+# The kept bean attributes' metric names.
 _BEANS = [
     ("kafka_broker_bytes_in_total", "counter"), ("kafka_broker_bytes_out_total", "counter"), ("kafka_broker_messages_in_total", "counter"),
     ("kafka_under_replicated_partitions", "gauge"), ("kafka_partition_count", "gauge"), ("kafka_leader_count", "gauge"),
@@ -479,11 +497,15 @@ WHERE t % 2 = 0 GROUP BY 1""",
     "dashboard_panels": named(PANELS, WITH_COUNTERS),
     "failure_rate_panel": f"""{_BATCH_OUTCOMES}, {counter_series(300_000_000)}, {increase('i15', 900_000_000, 300_000_000, 'cs')},
 r AS ({_failure_rate('i15')}) {vector('r', labels='labels')}""",
-    "series_export": f"""WITH {EVALUATED}, r AS ({RULES['kafka_cluster_container_memory_gb']})
-{vector("r WHERE g BETWEEN epoch_us(TIMESTAMP '2024-01-05') AND epoch_us(TIMESTAMP '2024-01-08')", labels='labels')}""",
-    "export_csv_rows": f"""WITH {EVALUATED}, r AS (SELECT 'kafka_broker_bytes_in_kb_per_sec' AS query, replace(labels, '":"', '": "') AS series, g, value
-  FROM ({RULES['kafka_broker_bytes_in_kb_per_sec']}) UNION ALL SELECT 'kafka_cluster_messages_per_sec', 'series_0', g, value
-  FROM ({RULES['kafka_cluster_messages_per_sec']})) SELECT query, series, g / 1e6 AS timestamp, round(value + 1e-9, 6) AS value FROM r""",
+    "series_export": f"""WITH {WITH_COUNTERS}, sel AS ({_EXPORTED}),
+x AS (SELECT 'selected' AS part, * FROM sel UNION ALL SELECT 'all_metrics', metric, key, g, value FROM it)
+SELECT part, form, metric, labels, make_timestamp(g) AS ts, round(value + 1e-9, 6) AS value FROM x, (VALUES ('csv'), ('json')) AS f(form)""",
+    "export_files": f"""WITH {SAMPLES} SELECT 'metric_names' AS file, metric AS line FROM (SELECT DISTINCT metric FROM sm)
+UNION ALL SELECT 'metadata', unnest(['run_label=baseline', 'start_ts=1.7044128E9', 'end_ts=1.704672E9', 'step_seconds=3600.0', 'export_all_metrics=true'])
+UNION ALL SELECT 'promql', unnest([{_PROMQL}])""",
+    "export_csv_rows": f"""WITH {EVALUATED}, r AS ({" UNION ALL ".join(f"SELECT '{n}' AS query, labels, g, value FROM ({sql})" for n, sql in RULES.items())})
+SELECT query, CASE labels WHEN '{{}}' THEN 'series_0' ELSE replace(labels, '":"', '": "') END AS series, g / 1e6 AS timestamp,
+  round(value + 1e-9, 6) AS value FROM r""",
     "measured_window": "WITH " + SAMPLES + " " + _COUNTED.format(
         key="key", where="WHERE make_timestamp(t) BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00'"),
     "phase_tagging": _PHASED,

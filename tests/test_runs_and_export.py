@@ -1,14 +1,16 @@
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import at, seconds
-from waybill.operators import runs
+from waybill.functions import columns as C
+from waybill.operators import runs, series as S
 from waybill.plans import rules
 from waybill.operators.series import Grid
 from waybill.schemas import SAMPLE
-from waybill.sinks.export import EXPORT_EXPRESSIONS, export_run
+from waybill.sinks.export import EXPORT_EXPRESSIONS, export_run, read_csv
 from waybill.sources.matrix import read_matrix
 
 
@@ -85,19 +87,46 @@ def test_export_run(spark, scraped, tmp_path):
     assert folder.endswith("baseline-19700101-000820")
     meta = spark.read.json(f"{folder}/metadata").first()
     assert meta["run_label"] == "baseline" and meta["step_seconds"] == 50.0 and meta["export_all_metrics"] is True
-    csv = spark.read.csv(f"{folder}/selected/csv", header=True, inferSchema=True)
+    csv = spark.read.csv(f"{folder}/selected/csv", header=True, inferSchema=True, escape='"')
     rows = csv.where("query = 'cluster_cpu_cores'").orderBy("timestamp").collect()
-    assert [r["timestamp"] for r in rows] == [400.0, 450.0, 500.0] and {r["series"] for r in rows} == {"series_0"}
+    assert [r["timestamp"] for r in rows] == [400.0, 450.0, 500.0]
+    # A recorded rule is a series of that name.
+    assert {r["series"] for r in csv.where("query = 'cluster_cpu_cores'").collect()} == {'{"__name__": "kafka_cluster_cpu_cores"}'}
     back = read_matrix(spark, f"{folder}/selected/json", lines=True)
     assert back.count() == csv.count() == 7 * 3
-    every = spark.read.csv(f"{folder}/all_metrics/csv", header=True)
+    every = spark.read.csv(f"{folder}/all_metrics/csv", header=True, escape='"')
     assert every.select("query").distinct().count() == scraped.select("metric").distinct().count()
-    assert any(json.loads(r["series"]) == {"instance": "kafka-1"} for r in every.collect() if r["series"].startswith("{"))
+    assert any(json.loads(r["series"]) == {"__name__": "jvm_heap_used_bytes", "instance": "kafka-1"} for r in every.collect() if r["series"].startswith("{"))
     lines = [r[0] for r in spark.read.text(f"{folder}/selected/promql").collect()]
     assert f"cluster_cpu_cores = {EXPORT_EXPRESSIONS['cluster_cpu_cores']}" in lines and len(lines) == 12
     assert spark.read.json(f"{folder}/all_metrics/metric_names").count() == scraped.select("metric").distinct().count()
 
 
+def test_export_bounds_numbers_and_names(spark, tmp_path):
+    rows = [(m, {"i": str(i), "q": 'a "b", c'}, at(1_704_067_200 + t + 0.5), 1e10 * (t + 1), "gauge") for m in ("a b", "a/b", "c") for i in range(3) for t in range(0, 300, 10)]
+    rows += [("d", {}, at(1_704_067_200), float(v), "gauge") for v in ("inf",)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    folder = export_run(df, "r", at(1_704_067_200), at(1_704_067_500), "2500 milliseconds", str(tmp_path), all_metrics=True, rows=100, points=7)
+    where = f"{folder}/all_metrics"
+    for path in pathlib.Path(where, "csv").rglob("*.csv"):
+        assert len(path.read_text().splitlines()) <= 101
+    docs = [json.loads(line) for path in pathlib.Path(where, "json").rglob("*.txt") for line in path.read_text().splitlines()]
+    points = [p for d in docs for p in d["data"]["result"][0]["values"]]
+    assert max(len(d["data"]["result"][0]["values"]) for d in docs) == 7 and all(len(path.read_text().splitlines()) <= 14 for path in pathlib.Path(where, "json").rglob("*.txt"))
+    assert {type(t) for t, _ in points} == {int, float} and {type(v) for _, v in points} == {str} and "+Inf" in {v for _, v in points}
+    text = next(pathlib.Path(where, "json").rglob("*.txt")).read_text()
+    assert "E9" not in text.split('"values":[[')[1].split(",")[0]
+    want = S.instant(df, Grid(at(1_704_067_200), at(1_704_067_500), "2500 milliseconds")).select("metric", C.labels_key(F.col("labels")), "ts", "value")
+    want = sorted(str(tuple(r)) for r in want.collect())
+    back = read_matrix(spark, f"{where}/json", lines=True)
+    assert sorted(str(tuple(r)) for r in back.select("metric", C.labels_key(F.col("labels")), "ts", "value").collect()) == want
+    table = read_csv(spark, f"{where}/csv")
+    labels = F.map_filter("labels", lambda k, _: k != "__name__")
+    assert sorted(str(tuple(r)) for r in table.select(F.col("labels")["__name__"], C.labels_key(labels), "ts", "value").collect()) == want
+    # Names that come out equal do not meet in one file.
+    assert {(r["query"], r["labels"]["__name__"]) for r in table.select("query", "labels").collect()} == {("a_b", "a/b"), ("a_b.1", "a b"), ("c", "c"), ("d", "d")}
+
+
 def test_matrix_file_and_failure(spark, tmp_path):
     doc = {"status": "success", "data": {"resultType": "matrix", "result": [
         {"metric": {"__name__": "up", "job": "a"}, "values": [[1700000000.25, "1"], [1700000010, "0.5"]]},

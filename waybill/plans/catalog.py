@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -831,19 +832,39 @@ def failure_rate_panel(spark, sf_dir):
 
 @query
 def series_export(spark, sf_dir):
-    """A run exported to files and its JSON documents read back."""
+    """The month as a run: every selected query and every metric, exported and read back from its CSV files and JSON documents."""
     folder = export.export_run(
-        V.samples(spark, sf_dir), "baseline", "2024-01-05", "2024-01-08", "1 hour", scratch_path(spark, "export"),
+        _all_samples(spark, sf_dir), "baseline", GRID.start, GRID.end, GRID.step, scratch_path(spark, "export"), all_metrics=True,
+        rows=20_000, points=500, rate_window=WINDOW, lookback=WINDOW)
+    name = F.col("labels")["__name__"]
+    labels = F.map_filter(F.col("labels"), lambda k, _: k != "__name__")
+    parts = []
+    for part in ("selected", "all_metrics"):
+        documents = read_matrix(spark, f"{folder}/{part}/json", lines=True)
+        table = export.read_csv(spark, f"{folder}/{part}/csv").select(F.coalesce(name, F.lit("")).alias("metric"), labels.alias("labels"), "ts", "value")
+        for form, rows in (("json", documents), ("csv", table)):
+            parts.append(rows.select(F.lit(part).alias("part"), F.lit(form).alias("form"), "metric", C.labels_key(F.col("labels")).alias("labels"), "ts", _rounded().alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def export_files(spark, sf_dir):
+    """What stands beside the series: the run's metadata, its expressions and the metrics' names."""
+    folder = export.export_run(
+        V.samples(spark, sf_dir), "baseline", "2024-01-05", "2024-01-08", "1 hour", scratch_path(spark, "export"), all_metrics=True,
         rate_window=WINDOW, lookback=WINDOW)
-    back = read_matrix(spark, f"{folder}/selected/json/query=cluster_memory_gb", lines=True)
-    return back.select(C.labels_key(F.col("labels")).alias("labels"), "ts", _rounded().alias("value"))
+    meta = spark.read.json(f"{folder}/metadata").select(F.explode(F.array(*(
+        F.struct(F.lit("metadata").alias("file"), F.concat_ws("=", F.lit(c), F.col(c).cast("string")).alias("line"))
+        for c in ("run_label", "start_ts", "end_ts", "step_seconds", "export_all_metrics")))).alias("x")).select("x.*")
+    lines = spark.read.text(f"{folder}/selected/promql").select(F.lit("promql").alias("file"), F.col("value").alias("line"))
+    names = spark.read.json(f"{folder}/all_metrics/metric_names").select(F.lit("metric_names").alias("file"), F.col("metric").alias("line"))
+    return meta.unionByName(lines).unionByName(names)
 
 
 @query
 def export_csv_rows(spark, sf_dir):
-    e = _evaluation(spark, sf_dir)
-    rows = export.series_rows(rules.evaluate(e, rules.RULES, ["kafka_broker_bytes_in_kb_per_sec", "kafka_cluster_messages_per_sec"]))
-    return rows.withColumn("value", _rounded())
+    e = _evaluation(spark, sf_dir, keep=True)
+    return export.series_rows(rules.evaluate(e, rules.RULES)).withColumn("value", _rounded())
 
 
 # --- runs ---------------------------------------------------------------------------------------------------
