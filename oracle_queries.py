@@ -339,6 +339,14 @@ SELECT count(*) FILTER (is_read AND nxt IS NULL AND NOT fired) AS pending, count
         f"WITH {USER_LOG}, {lifecycle('(SELECT max(t) // 1000 * 1000 FROM al)')} {OUTCOME_ROWS}",
     "lifecycle_late_events":
         f"WITH {USER_LOG}, {lifecycle('(SELECT max(t) + 1000 FROM al)')} {OUTCOME_ROWS}",
+    "lifecycle_summary_streamed": f"""WITH {USER_LOG}, {lifecycle('(SELECT max(t) + 1000 FROM al)')}
+SELECT count(*) FILTER (is_read AND nxt IS NULL AND NOT fired) AS pending, count(*) FILTER (is_read AND n > 1) AS replays,
+  count(*) FILTER (fired) AS "estimatedFailed", count(*) FILTER (NOT is_read AND n >= 1 AND tb > 0) AS "lateCommits",
+  count(*) FILTER (NOT is_read AND n >= 1 AND tb = 0) AS committed FROM g""",
+    "read_commit_pairs_streamed": f"WITH {BATCH_LOG} {_PAIRS} FROM al GROUP BY id HAVING bool_or(is_read)",
+    "audit_intake_streamed": """WITH c AS (SELECT event_id % 12 IN (0, 1, 9, 10) AS ok FROM events)
+SELECT unnest(['counted_read', 'counted_good', 'good', 'counted_quarantined', 'quarantined']) AS rows,
+  unnest([count(*), count(*) FILTER (ok), count(*) FILTER (ok), count(*) FILTER (NOT ok), count(*) FILTER (NOT ok)]) AS n FROM c""",
     "open_episodes": _OPEN,
     "pending_batches": _OPEN,
     "outcome_counters": f"""{_BATCH_OUTCOMES}, {counters()} SELECT metric, outcome, grp AS consumer_group, topic AS source_topic,

@@ -27,7 +27,7 @@ from waybill.sinks import export, tables as T
 from waybill.sinks.topics import TopicSpec, publish
 from waybill.sources import records as src
 from waybill.sources.matrix import parse_matrix, read_matrix
-from waybill.streaming import sinks as stream_sinks
+from waybill.streaming import intake, sinks as stream_sinks
 from waybill.streaming.lifecycle import lifecycle_stream, pending_batches as read_pending
 from waybill.streaming.rules import read_recorded, run_rules
 
@@ -177,6 +177,62 @@ def _run(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+@query
+def lifecycle_summary_streamed(spark, sf_dir):
+    """Outcomes counted as they pass, over the same parts and restarts, and the entries left in the state."""
+    log, parts = _out_of_order(spark, sf_dir)
+    state, totals = scratch_path(spark, "state"), intake.Totals("lifecycle")
+    spark.streams.addListener(totals)
+
+    def step(stream: DataFrame) -> None:
+        out = intake.observed_outcomes(lifecycle_stream(stream, **CLOCK, late="25 days", seq="seq"))
+        totals.wait(out.writeStream.format("noop").option("checkpointLocation", state).trigger(availableNow=True).start())
+
+    try:
+        _in_parts(spark, log, parts, step)
+    finally:
+        spark.streams.removeListener(totals)
+    counted = [F.lit(totals.totals.get(n, 0)).cast("bigint").alias(n) for n in ("replays", "estimatedFailed", "lateCommits", "committed")]
+    return read_pending(spark, state).agg(F.count(F.when(F.isnull("timedOutAt"), 1)).alias("pending")).select("pending", *counted)
+
+
+@query
+def read_commit_pairs_streamed(spark, sf_dir):
+    """Reads joined with commits over ten-day parts of the log, with a restart before each, and a last pair that moves the clock."""
+    log = V.batch_audit(spark, sf_dir).select("eventId", "stage", "timestamp")
+    clock = log.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit("clock").alias("eventId"), F.explode(F.array(F.lit(BATCH_READ), F.lit(OFFSET_COMMITTED))).alias("stage"),
+        (F.col("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("timestamp"))
+    path, state = scratch_path(spark, "pairs"), scratch_path(spark, "state")
+    span = F.when(F.col("eventId") == "clock", 9).otherwise(F.least(F.floor((F.dayofyear("timestamp") - 1) / 10), F.lit(3)))
+
+    def step(stream: DataFrame) -> None:
+        out = intake.pair_stream(stream, "1 day", "2 hours")
+        _run(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state))
+
+    _in_parts(spark, log.unionByName(clock), [span == p for p in (0, 1, 2, 3, 9)], step)
+    return intake.pairs_of(spark.read.parquet(path).where(F.col("eventId") != "clock"))
+
+
+@query
+def audit_intake_streamed(spark, sf_dir):
+    """Audit texts split by a stream over three parts: what was written, set aside and counted on the way."""
+    raw = _audit_text(spark, sf_dir)
+    good, bad, state = (scratch_path(spark, n) for n in ("good", "quarantine", "state"))
+    totals = intake.Totals("intake")
+    spark.streams.addListener(totals)
+    third = F.pmod(F.xxhash64(*raw.columns), F.lit(3))
+    try:
+        _in_parts(spark, raw, [third == k for k in range(3)], lambda stream: totals.wait(
+            intake.run_intake(stream, good, bad, state, trigger={"availableNow": True})))
+    finally:
+        spark.streams.removeListener(totals)
+    counts = [("counted_" + k, F.lit(totals.totals.get(k, 0)).cast("bigint")) for k in ("read", "good", "quarantined")]
+    counted = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("rows"), n.alias("n")) for k, n in counts))).alias("x")).select("x.*")
+    stored = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("rows"), "n") for k, p in (("good", good), ("quarantined", bad))]
+    return reduce(DataFrame.unionByName, [counted, *stored])
+
+
 # --- outcome counters and rates -----------------------------------------------------------------
 
 @query
