@@ -129,6 +129,28 @@ def runs_of_words(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     return mix(acc[place]), begin
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def beside(docs: DataFrame, names: list[str], choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``choose`` keeps of ``docs``, with all columns as they were. ``names`` are columns that ``choose`` makes on the way: columns of
+    ``docs`` of these names stand aside under others meanwhile."""
+    clash = [c for c in docs.columns if c.lower() in {n.lower() for n in names}]
+    aside = dict(zip(clash, free(docs, *clash)))
+    chosen = choose(docs.withColumnsRenamed(aside)) if clash else choose(docs)
+    return chosen.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def id_filter(ids: DataFrame, key: str, bits: int = 23) -> DataFrame:
     """A bitmap of 2**bits positions in rows of 4 KB, marking the hashes of ``key``; always of that size at most."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
@@ -146,13 +168,15 @@ def may_be_in(df: DataFrame, marks: DataFrame, key: str, bits: int = 23, flag: s
     With ``flag`` all rows stay and that column tells. The bitmap is broadcast: its size is fixed by ``bits``. A full bitmap
     lets all rows pass.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(bitmap_bit_position(_place) div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 as int))")) != 0, F.lit(False))
+    place, bucket, held, found = free(df, "place", "bucket", "bits", "of")
+    marks = marks.select(F.col("_bucket").alias(found), F.col("_bits").alias(held))
+    at = F.expr(f"cast(bitmap_bit_position(`{place}`) div 8 + 1 as int)")
+    byte = F.conv(F.hex(F.substring(held, at, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(`{place}`) % 8 as int))")) != 0, F.lit(False))
     joined = (
-        df.withColumn("_place", place).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)"))
-        .join(F.broadcast(marks), "_bucket", "left" if flag else "inner"))
-    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop("_place", "_bucket", "_bits")
+        df.withColumn(place, F.pmod(F.xxhash64(key), F.lit(1 << bits))).withColumn(bucket, F.expr(f"bitmap_bucket_number(`{place}`)"))
+        .join(F.broadcast(marks), F.col(bucket) == F.col(found), "left" if flag else "inner"))
+    return (joined.withColumn(flag, hit) if flag else joined.filter(hit)).drop(place, bucket, held, found)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
