@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings, strategies as st
@@ -83,3 +84,12 @@ def test_query_equals_brute_force(spark):
         base = brute_base(texts_[r["doc_id"]])
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
+def test_many_spans_take_time_in_proportion():
+    rng = random.Random(6)
+    part = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = f"token = abcdefgh1 {part}\n"
+    start = time.time()
+    base, every = secrets.find(text * 20_000)
+    assert len(base) == 20_000 and len(every) == 20_000 * len(secrets.find(text)[1]) and time.time() - start < 20

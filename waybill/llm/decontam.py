@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from waybill.llm.common import beside
 from waybill.session import cut_lineage
 
 WINDOW = 10
@@ -166,5 +167,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **options) -> Data
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns."""
-    return mark(documents, benchmark, **options).filter(F.size("hits") == 0).select(*documents.columns)
+    """The documents in which no window of the benchmark occurs, with all their columns as they were (also those that ``mark`` makes)."""
+    return beside(documents, [f.name for f in _FIELDS], lambda docs: mark(docs, benchmark, **options).filter(F.size("hits") == 0))

@@ -94,10 +94,16 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = []
+    base.sort()
+    more, near, i = [], [], 0
     for m in _CANDIDATE.finditer(text):
-        more += [(a, 3, b) for a, b in _left(*m.span(), base) if is_random(text[a:b])]
-    return sorted(base), sorted(base + more)
+        # Both come in order, so each base span is met where it overlaps candidates and then left behind.
+        while i < len(base) and base[i][0] < m.end():
+            near.append(base[i])
+            i += 1
+        near = [s for s in near if s[2] > m.start()]
+        more += [(a, 3, b) for a, b in _left(*m.span(), near) if is_random(text[a:b])]
+    return base, sorted(base + more)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from waybill.llm.common import append_columns
+from waybill.llm.common import append_columns, beside
 from waybill.session import cut_lineage
 
 SAMPLE = 20_000
@@ -236,6 +236,6 @@ def assess(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
+    """The documents not predicted toxic, with all their columns as they were (also those named ``score`` or ``predicted``)."""
     scorer = learn(documents, labels, sample)
-    return score(documents, scorer).filter("predicted = 0").select(*documents.columns)
+    return beside(documents, ["score", "predicted"], lambda docs: score(docs, scorer).filter("predicted = 0"))
