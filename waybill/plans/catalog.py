@@ -546,7 +546,7 @@ def sink_two_streams(spark, sf_dir):
     """Two streams with checkpoints of their own write to one append sink: the second adds to the first."""
     sink = T.SinkSpec(path=scratch_path(spark, "append"))
     for rest in (0, 1):
-        stream = V.records_of(_event_stream(spark, sf_dir)).where(F.col("offset") % 3 == rest)
+        stream = V.records_of(_event_stream(spark, sf_dir)).where(F.col("offset") % 2 == rest)
         stream_sinks.run_sink_stream(stream, sink, scratch_path(spark, "state"), {"availableNow": True}).awaitTermination()
     return T.read_appended(spark, sink).groupBy("kafka_topic", "kafka_partition").agg(
         F.count(F.lit(1)).alias("n"), F.sum("kafka_offset").alias("offset_sum"))
