@@ -355,6 +355,8 @@ SELECT unnest(['counted_read', 'counted_good', 'good', 'counted_quarantined', 'q
         f"{_BATCH_OUTCOMES}, {counter_series(HOUR)} SELECT metric, key AS labels, make_timestamp(t) AS ts, round(v + 1e-9, 6) AS value FROM cs",
     "outcome_counters_streamed": f"{_BATCH_OUTCOMES}, {counters()} SELECT metric, {COUNTER_KEY} AS labels, CAST(sum(inc) AS BIGINT) AS value "
                                  "FROM st GROUP BY metric, outcome, grp, topic, part",
+    "counters_incremental": f"{_BATCH_OUTCOMES}, {counters()} SELECT metric, {COUNTER_KEY} AS labels, CAST(sum(inc) AS BIGINT) AS value "
+                            "FROM st GROUP BY metric, outcome, grp, topic, part",
     "export_totals": f"""{_BATCH_OUTCOMES} SELECT count(*) FILTER (outcome = 'COMMITTED') AS audit_committed_total,
   count(*) FILTER (outcome = 'REPLAY_OBSERVED') AS audit_replay_observed_total,
   count(*) FILTER (outcome = 'ESTIMATED_FAILED') AS audit_estimated_failed_total,
@@ -430,6 +432,8 @@ FROM events""",
     "sink_compact_repeat": f"""WITH {_SINK} SELECT DISTINCT event_id, kafka_topic, kafka_partition, kafka_offset,
   CASE WHEN kafka_offset % 4 = 0 THEN 'g3-' WHEN kafka_offset % 3 = 0 THEN 'g2-' WHEN kafka_offset % 2 = 0 THEN 'g1-' ELSE 'g0-' END
   || payload AS payload, created_at FROM snk""",
+    "sink_lookup": f"""WITH {_SINK} SELECT event_id, kafka_topic, kafka_partition, kafka_offset, 'again-' || any_value(payload) AS payload,
+  any_value(created_at) AS created_at FROM snk GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""",
     "sink_two_streams": f"""WITH {RECORDS} SELECT topic AS kafka_topic, partition AS kafka_partition, count(*) AS n,
   CAST(sum("offset") AS BIGINT) AS offset_sum FROM rec GROUP BY 1, 2""",
     "sink_streamed_restart": f"""WITH {RECORDS} SELECT sha256(topic || '|' || partition || '|' || "offset") AS event_id,

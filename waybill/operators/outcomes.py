@@ -51,14 +51,17 @@ def outcome_counts(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def outcome_counters(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
-    """The counters in sample form: ``metric, labels, ts, value, kind``."""
+def counter_form(counts: DataFrame, at: Column) -> DataFrame:
+    """Counters with a column per label as samples: ``metric, labels, ts, value, kind``."""
     pairs = [x for c in _LABELS for x in (F.lit(c), F.col(c))]
     labels = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-    return outcome_counts(outcomes).select(
-        "metric", labels.alias("labels"), (F.current_timestamp() if at is None else at).alias("ts"),
-        F.col("value").cast("double").alias("value"), F.lit("counter").alias("kind"),
-    )
+    return counts.select(
+        "metric", labels.alias("labels"), at.alias("ts"), F.col("value").cast("double").alias("value"), F.lit("counter").alias("kind"))
+
+
+def outcome_counters(outcomes: DataFrame, at: Column | None = None) -> DataFrame:
+    """The counters in sample form: ``metric, labels, ts, value, kind``."""
+    return counter_form(outcome_counts(outcomes), F.current_timestamp() if at is None else at)
 
 
 def counter_samples(outcomes: DataFrame, step: str) -> DataFrame:

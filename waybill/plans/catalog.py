@@ -256,6 +256,19 @@ def outcome_counters_streamed(spark, sf_dir):
     return stream_sinks.read_counters(spark, table).select("metric", C.labels_key(F.col("labels")).alias("labels"), F.col("value").cast("bigint").alias("value"))
 
 
+@query
+def counters_incremental(spark, sf_dir):
+    """The same counters from four streams over one checkpoint, each over the outcomes of a week, folded after every second batch."""
+    table, state = scratch_path(spark, "counters"), scratch_path(spark, "state")
+    week = F.floor((F.dayofmonth("observedAt") - 1) / 8)
+
+    def step(stream: DataFrame) -> None:
+        stream_sinks.run_counters(stream, table, state, {"availableNow": True}, fold_every=2).awaitTermination()
+
+    _in_parts(spark, _batch_outcomes(spark, sf_dir), [week == w for w in range(4)], step)
+    return stream_sinks.read_counters(spark, table).select("metric", C.labels_key(F.col("labels")).alias("labels"), F.col("value").cast("bigint").alias("value"))
+
+
 @query
 def export_totals(spark, sf_dir):
     return O.export_totals(O.outcome_counts(_batch_outcomes(spark, sf_dir)))
@@ -541,6 +554,23 @@ def sink_compact_repeat(spark, sf_dir):
     return T.read_upserted(spark, target)
 
 
+@query
+def sink_lookup(spark, sf_dir):
+    """Current rows of the places that the source delivered more than once, looked up in an indexed base and two generations, one of them not indexed."""
+    target = T.SinkSpec(path=scratch_path(spark, "upsert"), mode="upsert")
+    rows = V.sink_rows(spark, sf_dir)
+    weeks = F.floor((F.dayofmonth("created_at") - 1) / 8)
+    for week in range(4):
+        T.write_sink(rows.where(weeks == week), target, week)
+        if week % 2:
+            T.compact_sink(spark, target)
+            T.vacuum_sink(spark, target)
+    T.index_sink(spark, target)
+    twice = R.sink_duplicates(rows)
+    T.write_sink(rows.join(twice, list(T.SINK_KEY), "left_semi").withColumn("payload", F.concat(F.lit("again-"), "payload")), target, 4)
+    return T.lookup_upserted(spark, target, twice)
+
+
 @query
 def sink_two_streams(spark, sf_dir):
     """Two streams with checkpoints of their own write to one append sink: the second adds to the first."""

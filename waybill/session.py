@@ -7,7 +7,6 @@ import tempfile
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _UNIT_US = {
@@ -58,35 +57,56 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system that holds ``path``, as Spark is configured for it, and the path in it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at ``path``."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        return True
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-
-
-def newest_version(spark: SparkSession, path: str) -> int | None:
-    """The largest N for which ``path`` holds a complete table ``version=N``."""
-    if not written(spark, path):
-        return None
-    # Files get their final place when the whole write commits; what tasks are still writing is not listed.
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    found = done.select("version").distinct().orderBy(F.desc("version")).first() if "version" in done.columns else None
-    return None if found is None else int(found[0])
-
-
-def run_of(spark: SparkSession, checkpoint: str) -> int:
-    """The run a checkpoint stands for: when it was first used, in milliseconds; written beside its progress once."""
+    """Whether there is anything at ``path``. Asks for that one name and lists nothing."""
+    files, place = _folder(spark, path)
+    return files.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly in ``path``, none where there is no such path."""
+    files, place = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()) if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the folder ``path`` and all in it; a missing one is fine."""
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def numbered(spark: SparkSession, path: str, name: str = "version") -> list[int]:
+    """All N, rising, for which ``path`` has a folder ``name=N``."""
+    return sorted(int(f.removeprefix(f"{name}=")) for f in subfolders(spark, path) if re.fullmatch(rf"{name}=\d+", f))
+
+
+def newest_version(spark: SparkSession, path: str, name: str = "version") -> int | None:
+    """The largest N for which ``path`` holds a complete table ``name=N``."""
+    for n in reversed(numbered(spark, path, name)):
+        # Files get their final place when the whole write commits; what tasks are still writing is deeper.
+        files, place = _folder(spark, f"{path}/{name}={n}/*.parquet")
+        if files.globStatus(place):
+            return n
+    return None
+
+
+def run_of(spark: SparkSession, checkpoint: str, earlier: list[int] | None = None) -> int:
+    """The run a checkpoint stands for: when it was first used, in milliseconds; written beside its progress once.
+
+    It is larger than all ``earlier`` runs, whatever the clock of this machine says.
+    """
     place = f"{checkpoint}/waybill-run"
     if written(spark, place):
         found = spark.read.schema("run long").parquet(place).first()
         if found:
             return found[0]
-    run = time.time_ns() // 1_000_000
+    run = max([time.time_ns() // 1_000_000, *(r + 1 for r in earlier or [])])
     spark.createDataFrame([(run,)], "run long").coalesce(1).write.mode("overwrite").parquet(place)
     return run
 

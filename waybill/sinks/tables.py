@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from waybill.functions.columns import sink_event_id
 from waybill.operators.reconcile import sink_duplicates
 from waybill.schemas import SINK_KEY, SINK_ROW
-from waybill.session import newest_version, written
+from waybill.session import broadcast_if_small, newest_version, numbered, remove, written
 from waybill.sources.records import check_sink, only_topic
 
 
@@ -167,6 +168,139 @@ def compact_sink(spark: SparkSession, target: SinkSpec, keys: Sequence[str] = SI
     spark.createDataFrame(now, "run long, upto long").coalesce(1).write.mode("overwrite").parquet(f"{target.path}/manifest/version={version + 1}")
 
 
+def vacuum_sink(spark: SparkSession, target: SinkSpec, keep: int = 1) -> int:
+    """Remove what only readers older than the last ``keep`` compactions can need; returns how many folders went.
+
+    These are the generations that the manifest before those had folded already, and the bases and manifests before
+    it. A reader that began before the newest compaction therefore still finds all its files.
+    """
+    versions = numbered(spark, f"{target.path}/manifest")
+    if len(versions) <= keep:
+        return 0
+    oldest = versions[-1 - keep]
+    # One row for each run, as in every read.
+    folded = dict(spark.read.schema("run long, upto long").parquet(f"{target.path}/manifest/version={oldest}").collect())
+    gone = [f"generations/run={run}/batch_id={b}" for run, upto in folded.items()
+            for b in numbered(spark, f"{target.path}/generations/run={run}", "batch_id") if b <= upto]
+    gone += [f"base/version={v}" for v in numbered(spark, f"{target.path}/base") if v < oldest]
+    for place in gone:
+        remove(spark, f"{target.path}/{place}")
+        remove(spark, f"{target.path}/index/{place}")
+    for v in versions:
+        if v < oldest:
+            remove(spark, f"{target.path}/manifest/version={v}")
+    return len(gone)
+
+
+# --- lookups ------------------------------------------------------------------------------------------
+
+#: A file's Bloom filter is cut into bitmaps of 32768 bits, one for about _KEYS keys; a key sets _PROBES bits of one
+#: bitmap. A file without the key is taken for one that has it in about 1 of 400 cases.
+_BITS = 32_768
+_KEYS = 2_048
+_PROBES = 4
+_FILE = r"(base/version=\d+/[^/]+|generations/run=\d+/batch_id=\d+/[^/]+)$"
+
+
+def _file_names(rows: DataFrame) -> dict[str, str]:
+    """Files of a scan by their name within the sink. Every scan holds this list on the driver."""
+    return {re.search(_FILE, f)[1]: f for f in rows.inputFiles()}
+
+
+def _probes(hashed: Column) -> Column:
+    mixed = F.xxhash64(hashed, F.lit(1))
+    return F.array(*[F.shiftrightunsigned(mixed, 15 * i).bitwiseAND(_BITS - 1) for i in range(_PROBES)])
+
+
+def _has_bit(bits: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1
+
+
+def _filters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per file: its smallest and largest key and the bitmaps of its Bloom filter, from the key columns alone."""
+    narrow = rows.select(F.regexp_extract("_metadata.file_path", _FILE, 1).alias("file"), F.struct(*keys).alias("key"), F.xxhash64(*keys).alias("hashed"))
+    sizes = narrow.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    # Powers of two, so that a lookup needs the place of a key for few sizes only.
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / _KEYS)).cast("int"))
+    sizes = sizes.select("file", "low", "high", F.pow(F.lit(2), power).cast("bigint").alias("bitmaps"))
+    placed = narrow.drop("key").join(sizes.select("file", "bitmaps"), "file").select(
+        "file", F.pmod("hashed", "bitmaps").alias("bitmap"), F.explode(_probes(F.col("hashed"))).alias("position"))
+    return placed.groupBy("file", "bitmap").agg(F.bitmap_construct_agg("position").alias("bits")).join(sizes, "file")
+
+
+def index_sink(spark: SparkSession, target: SinkSpec, keys: Sequence[str] = SINK_KEY) -> None:
+    """Index the files that are not indexed yet, for ``lookup_upserted``.
+
+    Writes do not wait for it: a file without an entry is opened by every lookup, and an entry
+    without its file (a batch was repeated) is not read. Run it after compaction or every few batches.
+    """
+    base, live, _, version = _rows(spark, target)
+    known = _known(spark, target, version)
+    fresh = [f for name, f in _file_names(base).items() if name not in known]
+    if fresh:
+        rows = spark.read.format(target.format).options(**target.options).schema(base.schema).load(fresh)
+        _filters(rows, keys).write.mode("overwrite").parquet(f"{target.path}/index/base/version={version}")
+    fresh = [f for name, f in _file_names(live).items() if name not in known]
+    if fresh:
+        rows = _generation_files(spark, target, live, fresh)
+        place = [F.regexp_extract("file", rf"{c}=(\d+)/", 1).cast("bigint").alias(c) for c in _PLACE]
+        _filters(rows, keys).select("*", *place).write.mode("append").partitionBy(*_PLACE).parquet(f"{target.path}/index/generations")
+
+
+def _generation_files(spark: SparkSession, target: SinkSpec, live: DataFrame, files: list[str]) -> DataFrame:
+    reader = spark.read.format(target.format).options(**target.options).schema(live.schema)
+    return reader.option("basePath", f"{target.path}/generations").load(files)
+
+
+def _index(spark: SparkSession, target: SinkSpec, version: int) -> DataFrame | None:
+    places = [p for p in (f"{target.path}/index/base/version={version}", f"{target.path}/index/generations") if written(spark, p)]
+    parts = [spark.read.parquet(p).select("file", "bitmaps", "bitmap", "bits", "low", "high") for p in places]
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _known(spark: SparkSession, target: SinkSpec, version: int) -> set[str]:
+    """Names of the indexed files: at most as many as the sink has."""
+    index = _index(spark, target, version)
+    return set() if index is None else {r["file"] for r in index.select("file").distinct().collect()}
+
+
+def files_with(spark: SparkSession, target: SinkSpec, wanted: DataFrame, keys: Sequence[str] = SINK_KEY) -> tuple[list[str], int]:
+    """Names of the sink's files that can hold one of the wanted keys, and the number of all files that count."""
+    base, live, _, version = _rows(spark, target)
+    names = [*_file_names(base), *_file_names(live)]
+    index = _index(spark, target, version)
+    if index is None:
+        return names, len(names)
+    known = _known(spark, target, version)
+    # At most 40 sizes, whatever the sink.
+    sizes = [r["bitmaps"] for r in index.select("bitmaps").distinct().collect()]
+    asked = wanted.select(F.struct(*keys).alias("key"), F.xxhash64(*keys).alias("hashed")).distinct()
+    asked = asked.withColumn("bitmaps", F.explode(F.array(*[F.lit(n).cast("bigint") for n in sizes]))).select(
+        "key", "bitmaps", F.pmod("hashed", "bitmaps").alias("bitmap"), _probes(F.col("hashed")).alias("probes"))
+    found = asked.join(index, ["bitmaps", "bitmap"]).where(
+        (F.col("key") >= F.col("low")) & (F.col("key") <= F.col("high")) & F.forall("probes", lambda p: _has_bit(F.col("bits"), p)))
+    hits = {r["file"] for r in found.select("file").distinct().collect()}
+    return [n for n in names if n in hits or n not in known], len(names)
+
+
+def lookup_upserted(spark: SparkSession, target: SinkSpec, wanted: DataFrame, keys: Sequence[str] = SINK_KEY) -> DataFrame:
+    """Current rows of the wanted keys: those that a merge of ``wanted`` would replace. Null keys are keys like others.
+
+    Opens only the files that can hold one of them, by key range and Bloom filter; payloads of other keys are
+    neither shuffled nor, where their file is not opened, read.
+    """
+    base, live, _, _ = _rows(spark, target)
+    chosen = set(files_with(spark, target, wanted, keys)[0])
+    old = [f for name, f in _file_names(base).items() if name in chosen]
+    new = [f for name, f in _file_names(live).items() if name in chosen]
+    base = spark.read.format(target.format).options(**target.options).schema(base.schema).load(old) if old else base.limit(0)
+    live = _generation_files(spark, target, live, new) if new else live.limit(0)
+    asked = broadcast_if_small(wanted.select(*[F.col(k).alias(f"_wanted_{k}") for k in keys]).distinct())
+    same = [F.col(k).eqNullSafe(F.col(f"_wanted_{k}")) for k in keys]
+    return latest(base.unionByName(live).join(asked, same, "left_semi"), keys, _PLACE).drop(*_PLACE)
+
+
 def ensure_sink_table(spark: SparkSession, table: str, location: str | None = None, unique: bool = True) -> DataFrame:
     """Create the sink table when absent and verify its columns and, if asked, its key.
 

@@ -10,14 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waybill.functions.columns import audit_json
 from waybill.operators.batches import batch_reads, commit_events
-from waybill.operators.outcomes import outcome_counters
+from waybill.operators.outcomes import counter_form, outcome_counts
 from waybill.sinks.tables import SinkSpec, to_sink_rows, write_sink
-from waybill.session import newest_version, run_of
+from waybill.session import newest_version, numbered, remove, run_of, written
 from waybill.sinks.topics import AUDIT_PRODUCER, TopicSpec, keyed
 
 _LOG = logging.getLogger(__name__)
-#: More batches than one run ever has: a version is run * _BATCHES + batch.
-_BATCHES = 1_000_000
 
 EVERY_FIVE_SECONDS = {"processingTime": "5 seconds"}
 
@@ -41,7 +39,9 @@ def run_sink_stream(
     is how a replay is recognised. With ``write_log`` every failed try and every written batch is a row that
     ``sink_stats`` understands.
     """
-    sink = replace(sink, run=run_of(records.sparkSession, checkpoint))
+    spark = records.sparkSession
+    earlier = numbered(spark, f"{sink.path}/generations", "run") if sink.path else []
+    sink = replace(sink, run=run_of(spark, checkpoint, earlier))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = to_sink_rows(batch, deterministic_id=True, created_at=F.col("timestamp"))
@@ -107,20 +107,32 @@ def drain(records: DataFrame, checkpoint: str, trigger: dict | None = None) -> S
     )
 
 
-def run_counters(outcomes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the outcome counters current under ``path``, one row per label set; ``read_counters`` reads them.
+#: Columns of a counter's label set.
+_COUNTER = ["metric", "outcome", "consumer_group", "source_topic", "partition"]
+_COUNTERS = ", ".join(f"{c} string" for c in _COUNTER) + ", value bigint, ts timestamp"
 
-    The state and the table have one row per counter and label set, however long the stream runs. Each batch writes a
-    version of the table beside the last, so that readers always find a whole one.
+
+def run_counters(outcomes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, fold_every: int = 100) -> StreamingQuery:
+    """Keep the outcome counters current under ``path``; ``read_counters`` reads them.
+
+    A batch writes one row per label set that it changed, with the new value, beside the batches before it. Every
+    ``fold_every`` batches the changes are folded into a table with one row per label set, so that a read opens that table and fewer
+    than ``fold_every`` changes; what the fold before had taken in is removed, so readers that began before this one still find
+    their files. A repeated batch replaces its own changes by equal ones. A new checkpoint is a new run and
+    counts from 0 again; readers take the newest run that has written anything.
     """
-    run = run_of(outcomes.sparkSession, checkpoint)
+    spark = outcomes.sparkSession
+    place = f"{path}/run={run_of(spark, checkpoint, numbered(spark, path, 'run'))}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={run * _BATCHES + batch_id}")
+        changed = batch.select(*_COUNTER, "value", F.current_timestamp().alias("ts"))
+        changed.write.mode("overwrite").parquet(f"{place}/changes/batch_id={batch_id}")
+        if batch_id % fold_every == fold_every - 1:
+            _fold_counters(spark, place, batch_id)
 
     return (
-        outcome_counters(outcomes)
-        .writeStream.outputMode("complete")
+        outcome_counts(outcomes)
+        .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or EVERY_FIVE_SECONDS))
@@ -128,6 +140,38 @@ def run_counters(outcomes: DataFrame, path: str, checkpoint: str, trigger: dict
     )
 
 
+def _counters_of(spark: SparkSession, place: str, before: int | None = None) -> DataFrame:
+    """Current counters of a run: the last value of each label set in the folded table and the changes behind it."""
+    upto = newest_version(spark, f"{place}/folded", "upto")
+    if before is not None and upto is not None and upto >= before:
+        # The fold of this very batch, which is repeated.
+        upto = max((n for n in numbered(spark, f"{place}/folded", "upto") if n < before), default=None)
+    parts = [] if upto is None else [spark.read.schema(_COUNTERS).parquet(f"{place}/folded/upto={upto}").withColumn("batch_id", F.lit(-1).cast("bigint"))]
+    later = [n for n in numbered(spark, f"{place}/changes", "batch_id") if (upto is None or n > upto) and (before is None or n <= before)]
+    if later:
+        reader = spark.read.schema(f"{_COUNTERS}, batch_id bigint").option("basePath", f"{place}/changes")
+        parts.append(reader.parquet(*[f"{place}/changes/batch_id={n}" for n in later]))
+    if not parts:
+        return spark.createDataFrame([], _COUNTERS)
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # Numbers only, so the grouping hashes and combines before its shuffle.
+    return rows.groupBy(*_COUNTER).agg(F.max_by("value", "batch_id").alias("value"), F.max_by("ts", "batch_id").alias("ts"))
+
+
+def _fold_counters(spark: SparkSession, place: str, batch_id: int) -> None:
+    before = [n for n in numbered(spark, f"{place}/folded", "upto") if n < batch_id]
+    _counters_of(spark, place, batch_id).write.mode("overwrite").parquet(f"{place}/folded/upto={batch_id}")
+    if before:
+        for n in numbered(spark, f"{place}/changes", "batch_id"):
+            if n <= before[-1]:
+                remove(spark, f"{place}/changes/batch_id={n}")
+        for n in before[:-1]:
+            remove(spark, f"{place}/folded/upto={n}")
+
+
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a counter table."""
-    return spark.read.parquet(f"{path}/version={newest_version(spark, path)}")
+    """The counters in sample form: ``metric, labels, ts, value, kind``; ``ts`` is when a counter last changed."""
+    runs = [n for n in numbered(spark, path, "run") if written(spark, f"{path}/run={n}/changes") or written(spark, f"{path}/run={n}/folded")]
+    if not runs:
+        raise ValueError(f"no counters at {path}")
+    return counter_form(_counters_of(spark, f"{path}/run={runs[-1]}"), F.col("ts"))
