@@ -59,3 +59,20 @@ def test_write_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"t{i}", "x") for i in range(100)], "doc_id long, text string, shard string")
     ring.write_shards(docs, str(tmp_path / "out"), shards=4)
     assert Counter(r["shard"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == {0: 25, 1: 25, 2: 25, 3: 25}
+
+
+def test_rows_of_one_text_without_id_are_cut_into_ranges(spark, monkeypatch):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, "same" if i % 3 == 0 else f"t{i}") for i in range(6000)], "doc_id long, text string").repartition(6)
+    written = []
+    real = ring.cut_lineage
+    monkeypatch.setattr(ring, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+    # Small ranges would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = ring.assign(docs, shards=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check(rows, 5)
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+    sizes = [r["count"] for r in written[-1].groupBy("_part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2 * 6000 / len(sizes)

@@ -76,10 +76,12 @@ def assign(documents: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRT
     """Per row: doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null: it holds for law ``key`` only)."""
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
-    placed = documents.select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_place"))
+    # Rows of one text and no id are told apart by a number that is written with them, so that they too are cut into ranges.
+    placed = cut_lineage(documents.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_place"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_spread")))
     # Written once, so that every later read sees the same partitions and the same order inside them.
-    order = ["_place", "doc_id", "size"]
+    order = ["_place", "doc_id", "size", "_spread"]
     ranked = cut_lineage(
         placed.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
