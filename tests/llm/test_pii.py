@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tests.llm.helpers import SF, numbered, table, texts
 from waybill.llm import pii
@@ -75,3 +76,17 @@ def test_terms_that_stand_by_one_entity_only_are_spans(spark):
 def test_copies_are_no_evidence(spark):
     docs = table(spark, [(i, "call Zebedeus at zz@mail.org") for i in range(9)] + [(20 + i, "nothing here") for i in range(30)])
     assert all(r["n_term"] == 0 for r in pii.report(docs).collect())
+
+
+def test_many_matches_in_one_text_take_about_linear_time(spark):
+    def row(n):
+        return " é ".join(f"a{i}@mail.org" for i in range(n))
+
+    took = {}
+    for n in (5_000, 5_000, 40_000):
+        docs = table(spark, [(1, row(n))])
+        start = time.time()
+        spans = pii.base_spans(docs).select(pii._joined("_base").alias("s")).first()["s"]
+        took[n] = time.time() - start
+        assert spans == named(brute(row(n)))
+    assert took[40_000] < 30 * took[5_000] and took[40_000] < 60
