@@ -64,3 +64,11 @@ def test_texts_without_id_are_documents_of_their_own(spark):
 def test_the_cover_meets_every_difference():
     d, v = substring.COVER, substring.PERIOD
     assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+def test_columns_named_like_helpers_stay(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    more = ["_doc", "_tie", "_starts", "doc", "starts", "starts_"]
+    docs = spark.createDataFrame([(1, text, *range(6)), (2, f"{text} end", *range(6))], ["doc_id", "text", *more])
+    rows = sorted(substring.deduplicate(docs, table_bits=12).collect())
+    assert [tuple(r) for r in rows] == [(1, text, *range(6), 25, 0), (2, "end", *range(6), 26, 25)]

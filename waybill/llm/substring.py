@@ -50,10 +50,10 @@ def anchor_hashes(texts: pa.Array) -> np.ndarray:
     return _anchors(*word_hashes(texts))[0]
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``_doc`` and ``_tie``, which together tell documents apart; the tie is 0 wherever there is a doc_id."""
+def _keyed(documents: DataFrame, tail: str = "") -> DataFrame:
+    """``documents`` with ``_doc`` and ``_tie`` (and ``tail``), which together tell documents apart; the tie is 0 wherever there is a doc_id."""
     tie = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
-    return documents.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_tie": tie})
+    return documents.withColumns({f"_doc{tail}": F.coalesce("doc_id", F.lit(_LAST)), f"_tie{tail}": tie})
 
 
 def _split(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -148,19 +148,23 @@ def repeated_starts(documents: DataFrame, table_bits: int = TABLE_BITS) -> DataF
 def deduplicate(documents: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     """``documents`` with ``text`` reduced to the kept words, joined by one space, and ``n_words``, ``n_removed``.
 
-    A null text stays null. Columns of the new names are replaced.
+    A null text stays null. Columns of the new names are replaced; others stay, whatever their names, but
+    for names with a dot, which Spark's Arrow maps do not take.
     """
     starts = repeated_starts(documents, table_bits)
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = [f for f in documents.schema.fields if f.name not in ("n_words", "n_removed")]
     schema = T.StructType(kept + new)
-    docs = _keyed(documents.select(*(f.name for f in kept)))
-    joined = docs.join(starts.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("starts").alias("_starts")), ["_doc", "_tie"], "left")
+    # Helper columns get names that no column of the documents has.
+    tail = "_" * (1 + max(len(f.name) for f in kept))
+    docs = _keyed(documents.select(*(F.col(f"`{f.name}`") for f in kept)), tail)
+    found = starts.select(F.col("doc").alias(f"_doc{tail}"), F.col("tie").alias(f"_tie{tail}"), F.col("starts").alias(f"_starts{tail}"))
+    joined = docs.join(found, [f"_doc{tail}", f"_tie{tail}"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, packed in zip(batch.column("text"), batch.column("_starts")):
+            for text, packed in zip(batch.column("text"), batch.column(f"_starts{tail}")):
                 words = text.as_py().encode().split() if text.is_valid else []
                 gone = np.zeros(len(words) + 1, np.int64)
                 if packed.is_valid:
