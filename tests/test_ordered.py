@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waybill.operators import ordered
 from waybill.operators.ordered import SEG, Ordered, chunk, current_batch, running_number
 
 
@@ -37,6 +38,18 @@ def test_thousands_of_segments(spark):
     assert [r["n"] for r in running_number(rows, ["k"], ["t"], "n", hot_rows=3).orderBy("t").collect()] == list(range(1, 9001))
 
 
+def test_segments_are_bounded_and_placed_without_a_task_for_each(spark, monkeypatch):
+    """However low the threshold, segments get larger and not more, and no shuffle has a partition for each."""
+    monkeypatch.setattr(ordered, "MAX_SEGMENTS", 40)
+    rows = spark.range(6000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 6000).alias("t"))
+    o = Ordered(rows, ["k"], ["t"], hot_rows=2)
+    sizes = [r["count"] for r in o.rows.groupBy("k", SEG).count().collect()]
+    assert sum(sizes) == 6000 and 30 <= len(sizes) <= 46 and max(sizes) < 400
+    assert "_blocks" not in o.rows._jdf.queryExecution().optimizedPlan().toString()
+    want = {t: i for k in range(3) for i, t in enumerate(sorted(n * 7919 % 6000 for n in range(k, 6000, 3)), 1)}
+    assert {r["t"]: r["n"] for r in running_number(rows, ["k"], ["t"], "n", hot_rows=2).collect()} == want
+
+
 def test_no_hot_key_is_a_plain_window(skewed):
     assert not Ordered(skewed, ["k"], ["t", "seq"]).split
 

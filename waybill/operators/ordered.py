@@ -5,12 +5,13 @@ small and wrong when a key holds a third of the rows. ``Ordered`` looks at a sam
 first. When no key is hot it is a plain window. Otherwise the hot keys, and only those, are cut
 into segments along their order, the window runs per (key, segment), and what a segment needs
 from the ones before or after it comes from a table with one row per segment. Segments hold about ``hot_rows``
-rows each, so there are about rows / hot_rows of them, few enough to broadcast. Where keys are known to be small, ``hot_rows=None`` leaves
+rows each, or more where there would be above ``MAX_SEGMENTS`` of them, so that they are few enough to broadcast. Where keys are known to be small, ``hot_rows=None`` leaves
 out the look at the sample.
 
 The sample only decides where to cut. Any cut gives the same result, so nothing is lost or
 approximated by it. The cut points are plain rows held by the driver (at most two per segment),
-so a task that is run again sees the same segments.
+so a task that is run again sees the same segments. Placing and using them costs the same per row whatever their number,
+but for the logarithm of that.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 SEG = "_seg"
 HOT_ROWS = 5_000_000
 SAMPLE_FRACTION = 0.001
+#: The driver holds the edges of so many segments, and tables with a row for each are broadcast. Where rows / ``hot_rows`` is more, segments
+#: get larger and not more.
+MAX_SEGMENTS = 20_000
+SAMPLED_ROWS = 50
+_FAN = 16
 _WHOLE = -1
 
 
@@ -93,76 +99,75 @@ class Ordered:
 
 
 def _cut_points(sampler, keys, order, hot_rows, fraction):
+    """A table of segments' edges, numbered from 1 in each hot key, and the largest number; None without a hot key."""
     picked = sampler(fraction)
     hot = (
         picked.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows * fraction)
-        .collect()  # each stands for more than hot_rows rows
+        # Each stands for more than hot_rows rows; any other has fewer rows than the largest segments.
+        .orderBy(F.desc("_n"))
+        .limit(MAX_SEGMENTS)
+        .collect()
     )
     if not hot:
         return None
     spark = picked.sparkSession
     hot_total = sum(r["_n"] for r in hot) / fraction
-    pieces = math.ceil(hot_total / hot_rows) + 1
+    pieces = min(math.ceil(hot_total / hot_rows), MAX_SEGMENTS)
     hot_keys = spark.createDataFrame([r[:-1] for r in hot], picked.select(*keys).schema)
-    # A few hundred sampled rows per segment are enough to place its edges.
-    keep = min(1.0, 500.0 * pieces / hot_total)
+    # Some dozens of sampled rows per segment are enough to place its edges.
+    keep = min(1.0, SAMPLED_ROWS * pieces / hot_total)
     narrow = sampler(keep).select(*keys, *[c for c in order if c not in keys])
     hot_keys = hot_keys.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
     same_key = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    # At most MAX_SEGMENTS * SAMPLED_ROWS rows are ordered here, of one key or of many.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    every = max(1, math.floor(hot_total / pieces * keep))
     edges = (
         narrow.join(F.broadcast(hot_keys), same_key, "left_semi")
-        .repartitionByRange(pieces, *keys, *order)
-        .groupBy(F.spark_partition_id().alias("_p"))
-        .agg(F.min(F.struct(F.struct(*keys).alias("k"), F.struct(*order).alias("o"))).alias("edge"))
-        .orderBy("_p")
-        .collect()
+        .withColumn("_place", place)
+        .where((F.col("_place") - 1) % every == 0)
+        .select(*keys, F.struct(*order).alias("_edge"), "_place")
     )
-    by_key: dict[tuple, list] = {tuple(r[:-1]): [] for r in hot}
-    for row in edges:
-        by_key[tuple(row["edge"]["k"])].append(tuple(row["edge"]["o"]))
-    rows = []
-    for key, starts in by_key.items():
-        size = max(1, math.isqrt(len(starts)))
-        blocks = [starts[i : i + size] for i in range(0, len(starts), size)]
-        rows.append((*key, size, [block[0] for block in blocks], blocks))
-    fields = picked.select(*keys).schema.fields
-    at = T.StructType(picked.select(*order).schema.fields)
-    schema = T.StructType([
-        *fields,
-        T.StructField("_size", T.IntegerType()),
-        T.StructField("_leads", T.ArrayType(at)),
-        T.StructField("_blocks", T.ArrayType(T.ArrayType(at))),
-    ])
-    return spark.createDataFrame(rows, schema)
+    rows = edges.collect()
+    if not rows:
+        return None
+    cuts = spark.createDataFrame(rows, edges.schema).select(
+        *keys, "_edge", F.row_number().over(Window.partitionBy(*keys).orderBy("_edge")).alias("_i"))
+    return cuts, max(r["_place"] - 1 for r in rows) // every + 1
 
 
 def _tag(df, cuts, keys, order):
     """Number each hot key's rows by segment: how many of the key's edges lie at or before the row.
 
-    The edges are sorted and cut into blocks, so a row is compared with the first edges of the blocks and then with
-    those of one block: twice the square root of the number of segments.
+    The edges of a key are a tree of nodes with 15 edges each, one small table per level. A row meets one node of each level, so it
+    is compared with 15 edges times the logarithm of their number.
     """
-    # One row for each hot key.
-    cuts = F.broadcast(cuts.withColumnsRenamed({k: f"_cut_{k}" for k in keys}))
-    match = [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in keys]
-
-    def up_to(edges, at):
-        return F.size(F.filter(edges, lambda e: e <= at))
-
-    def number(at):
-        def inside(block):
-            return F.when(block == 0, 0).otherwise((block - 1) * F.col("_size") + up_to(F.get("_blocks", block - 1), at))
-
-        return F.transform(F.array(up_to(F.col("_leads"), at)), inside)[0]
-
-    seg = F.transform(F.array(F.struct(*order)), number)[0]
-    return (
-        df.join(cuts, match, "left")
-        .withColumn(SEG, F.when(F.col("_size").isNull(), F.lit(_WHOLE)).otherwise(seg))
-        .drop("_size", "_leads", "_blocks", *[f"_cut_{k}" for k in keys])
-    )
+    edges, longest = cuts
+    stride = 1
+    while stride * _FAN <= longest:
+        stride *= _FAN
+    # One row for each node; the topmost level has one for each hot key.
+    on = [f"_cut_{k}" for k in keys]
+    edges = edges.withColumnsRenamed(dict(zip(keys, on)))
+    match = [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, on)]
+    names = [f"_edge_{j}" for j in range(1, _FAN)]
+    top, tagged = True, df
+    while stride:
+        nodes = edges.withColumn("_node", F.expr(f"_i - _i % {stride * _FAN}"))
+        if not top:
+            nodes = nodes.where(f"_i % {stride} = 0 AND _i != _node")
+        nodes = nodes.groupBy(*on, *([] if top else ["_node"])).agg(
+            *[F.max(F.when(F.col("_i") == F.col("_node") + j * stride, F.col("_edge"))).alias(n) for j, n in enumerate(names, 1)],
+            F.lit(True).alias("_hot"))
+        tagged = tagged.join(F.broadcast(nodes), match if top else [*match, F.col(SEG) == F.col("_node")], "left")
+        at = F.struct(*order)
+        passed = sum((F.when(F.col(n) <= at, stride).otherwise(0) for n in names), F.lit(0))
+        tagged = tagged.withColumn(SEG, F.when(F.col("_hot"), passed).otherwise(_WHOLE) if top else F.col(SEG) + passed)
+        tagged = tagged.drop(*on, "_node", "_hot", *names)
+        top, stride = False, stride // _FAN
+    return tagged
 
 
 def running_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, **split) -> DataFrame:
