@@ -3,7 +3,7 @@ from dataclasses import replace
 from functools import reduce
 
 import pytest
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from tests.helpers import at, audit_rows, seconds
 from tests.test_lifecycle import random_logs
@@ -16,7 +16,7 @@ from waybill.sinks.topics import AUDIT_PRODUCER, TopicSpec, publish, publish_str
 from waybill.functions import columns as C
 from waybill.sources import records as src
 from waybill.streaming import sinks as stream_sinks
-from waybill.streaming.lifecycle import lifecycle_stream, pending_batches
+from waybill.streaming.lifecycle import LifecycleProcessor, lifecycle_stream, pending_batches
 from waybill.operators.series import Grid
 from waybill.plans.rules import Evaluation, recorded
 from waybill.streaming.rules import read_recorded, run_rules
@@ -371,3 +371,86 @@ def test_rules_stream_records_each_grid_time_once(spark, tmp_path):
             again = spark.read.parquet(str(tmp_path / "out")).where("batch_id = 4").select(F.unix_seconds("ts")).collect()
             # Late samples at 28.5 and 33.5 touch two cells of 300 s; the later times are left as they are.
             assert {t // 300 for t, in again} == {0, 1} and max(t for t, _ in got) == 1000
+
+
+class _Fake:
+    """Value and list states and timers of one key, with a count of what is read."""
+
+    def __init__(self):
+        self.value, self.items, self.reads = None, [], 0
+
+    def exists(self):
+        return self.value is not None or bool(self.items)
+
+    def get(self):
+        if isinstance(self, _FakeList):
+            self.reads += len(self.items)
+            return iter(self.items)
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value, self.items = None, []
+
+
+class _FakeList(_Fake):
+    def appendValue(self, value):
+        self.items.append(value)
+
+    def appendList(self, values):
+        self.items.extend(values)
+
+    def put(self, values):
+        self.items = list(values)
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.watermark = set(), 0
+
+    def getValueState(self, name, schema):
+        return _Fake()
+
+    def getListState(self, name, schema):
+        return _FakeList()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def _feed(processor, handle, events, watermark):
+    """One micro-batch, with its timers behind the rows as Spark runs them; (outcome, time) in seconds."""
+    handle.watermark = watermark * 1000
+    rows = [Row(eventId="k", us=s * 1_000_000, seq=0, stage=stage, grp="g", topic="t", records=1, ranges="[]", _clock=None) for stage, s in events]
+    out = list(processor.handleInputRows(("k",), iter(rows), handle)) if rows else []
+    for at in sorted(t for t in handle.timers if t <= handle.watermark):
+        handle.timers.discard(at)
+        out += processor.handleExpiredTimer(("k",), handle, None)
+    return [(o["outcome"], o["observed"] // 1_000_000) for o in out]
+
+
+def test_waiting_events_are_not_read_before_they_are_due():
+    handle, processor = _Handle(), LifecycleProcessor(90_000_000, 10_000_000, None, True, True)
+    processor.init(handle)
+    for batch in range(20):
+        assert _feed(processor, handle, [("BATCH_READ", 1000 + 10 * batch + i) for i in range(10)], 0) == []
+    assert processor.early.reads == 0 and len(processor.early.items) <= 20 and handle.timers == {1_000_000}
+    assert _feed(processor, handle, [], 1199) == [("REPLAY_OBSERVED", s) for s in range(1001, 1200)]
+    assert processor.early.reads <= 20
+
+
+def test_due_events_are_taken_before_a_timeout_when_later_ones_arrive():
+    handle, processor = _Handle(), LifecycleProcessor(90_000_000, 10_000_000, None, True, True)
+    processor.init(handle)
+    assert _feed(processor, handle, [("BATCH_READ", 100), ("OFFSET_COMMITTED", 150)], 120) == []
+    # The watermark passes the waiting commit and the read's tick in the micro-batch that brings a later event.
+    assert _feed(processor, handle, [("BATCH_READ", 900)], 500) == [("COMMITTED", 150)]
+    assert _feed(processor, handle, [], 2000) == [("ESTIMATED_FAILED", 1000)]

@@ -7,6 +7,7 @@ keyed list and are taken in time order once it has passed them; events behind it
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -25,16 +26,18 @@ _STATE = (
     "grp string, topic string, first bigint, last bigint, timed_out bigint, records int, replays int, timeouts int, "
     "ranges string"
 )
-#: An event that waits for the watermark.
-_EVENT = "us bigint, seq bigint, stage string, grp string, topic string, records int, ranges string"
+#: An event's columns.
+_EVENT = ("us", "seq", "stage", "grp", "topic", "records", "ranges")
+#: Events that wait for the watermark, as JSON: one element for those of a micro-batch, because each element is a message of its own
+#: between the state store and Python.
+_WAITING = "events string"
 _OUT = (
     "eventId string, outcome string, consumerGroup string, sourceTopic string, first bigint, last bigint, observed bigint, "
     "recordCount int, replayCount int, timeoutCount int, ranges string"
 )
 
 
-def _names(schema: str) -> list[str]:
-    return [part.strip().split(" ")[0] for part in schema.split(", ")]
+_ENTRY = tuple(part.split(" ")[0] for part in _STATE.split(", "))
 
 
 class LifecycleProcessor(StatefulProcessor):
@@ -50,7 +53,7 @@ class LifecycleProcessor(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("pending", _STATE)
         self.timer = handle.getValueState("timer", "at bigint")
-        self.early = handle.getListState("early", _EVENT)
+        self.early = handle.getListState("early", _WAITING)
 
     def _due(self, entry: dict) -> int | None:
         """When the entry's next timer is: its timeout, or its removal once timed out."""
@@ -68,7 +71,12 @@ class LifecycleProcessor(StatefulProcessor):
         )
 
     def _load(self) -> dict | None:
-        return dict(zip(_names(_STATE), self.entry.get())) if self.entry.exists() else None
+        found = self.entry.get()
+        return None if found is None else dict(zip(_ENTRY, found))
+
+    def _timer(self) -> int | None:
+        found = self.timer.get()
+        return None if found is None else found[0]
 
     def _expire(self, key: str, entry: dict, now: int) -> Iterator[Row]:
         """Time the entry out when its tick has passed; ``now`` is exclusive."""
@@ -101,33 +109,45 @@ class LifecycleProcessor(StatefulProcessor):
                 entry = None
         self.left = entry
 
-    def _settle(self, entry: dict | None, early: list[dict], fired: bool = False) -> None:
-        """Store the entry and the events that wait, and move the key's only timer to where the first of them is due."""
+    def _settle(self, entry: dict | None, early: list[dict], known: bool, fired: bool = False) -> None:
+        """Store the entry and move the key's only timer to where it or the first of the events that wait is due.
+
+        ``known`` says whether the state has an entry.
+        """
         times = [] if entry is None or self._due(entry) is None else [self._due(entry)]
         times += [min(e["us"] for e in early)] if early else []
-        # Timers count milliseconds; rounding up keeps a timer from firing before its tick.
-        due = -(-min(times) // 1000) if times else None
         # The timer that fired is gone.
-        timer = self.timer.get()[0] if self.timer.exists() and not fired else None
-        if timer is not None and timer != due:
+        self._move(None if fired else self._timer(), min(times) if times else None)
+        if fired and not times:
+            self.timer.clear()
+        if entry is not None:
+            self.entry.update(tuple(entry[n] for n in _ENTRY))
+        elif known:
+            self.entry.clear()
+
+    def _move(self, timer: int | None, due: int | None) -> None:
+        # Timers count milliseconds; rounding up keeps a timer from firing before its tick.
+        due = None if due is None else -(-due // 1000)
+        if timer == due:
+            return
+        if timer is not None:
             self.handle.deleteTimer(timer)
-        if due is not None and timer != due:
-            self.handle.registerTimer(due)
         if due is not None:
+            self.handle.registerTimer(due)
             self.timer.update((due,))
-        elif self.timer.exists():
+        else:
             self.timer.clear()
-        if entry is not None:
-            self.entry.update(tuple(entry[n] for n in _names(_STATE)))
-        elif self.entry.exists():
-            self.entry.clear()
 
     def _passed(self, timerValues) -> int | None:
         """The last time the watermark has passed, where events wait for it."""
         return timerValues.getCurrentWatermarkInMs() * 1000 if self.event_time else None
 
     def _waiting(self) -> list[dict]:
-        return [dict(zip(_names(_EVENT), e)) for e in self.early.get()] if self.wait and self.early.exists() else []
+        return [dict(zip(_EVENT, e)) for part in self.early.get() for e in json.loads(part[0])] if self.wait else []
+
+    @staticmethod
+    def _packed(events: list[dict]) -> tuple[str]:
+        return (json.dumps([list(e.values()) for e in events]),)
 
     @staticmethod
     def _in_order(events: list[dict]) -> list[dict]:
@@ -135,35 +155,50 @@ class LifecycleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # A key's rows of one micro-batch come in any order; the source's batch bound limits them, and ``late`` those that wait.
-        new = [{n: row[n] for n in _names(_EVENT)} for row in rows]
+        new = self._events(rows)
         passed = self._passed(timerValues)
         early: list[dict] = []
         if self.wait:
-            held = self._waiting()
             early = [e for e in new if e["us"] > passed]
-            if early:
-                self.early.appendList([tuple(e.values()) for e in early])
             new = [e for e in new if e["us"] <= passed]
-            early += held
-            if new:
-                # Behind the watermark: together with what has waited long enough, so that order is kept among them.
-                new += [e for e in held if e["us"] <= passed]
-                early = [e for e in early if e["us"] > passed]
-                self._hold(early)
-        yield from self._take(key[0], self._load(), self._in_order(new))
+            if not new:
+                # Nothing to take, so what waits is not read. What the watermark has passed is due at the timer, in order.
+                self.early.appendValue(self._packed(early))
+                timer, first = self._timer(), min(e["us"] for e in early)
+                if timer is None or first < timer * 1000:
+                    self._move(timer, first)
+                return
+            # Behind the watermark: together with what has waited long enough, so that order is kept among them.
+            held = self._waiting()
+            new += [e for e in held if e["us"] <= passed]
+            early += [e for e in held if e["us"] > passed]
+            self._hold(early, held)
+        entry = self._load()
+        known = entry is not None
+        yield from self._take(key[0], entry, self._in_order(new))
         entry = self.left
         if entry is not None and self.event_time:
             yield from self._expire(key[0], entry, passed + 1)
-        self._settle(entry, early)
+        self._settle(entry, early, known)
 
-    def _hold(self, early: list[dict]) -> None:
+    @staticmethod
+    def _events(rows: Iterator[Row]) -> list[dict]:
+        found, at = [], None
+        for row in rows:
+            at = at or [row.__fields__.index(n) for n in _EVENT]
+            found.append({n: row[i] for n, i in zip(_EVENT, at)})
+        return found
+
+    def _hold(self, early: list[dict], held: list[dict]) -> None:
+        """Let the events ``early`` wait in place of ``held``."""
         if early:
-            self.early.put([tuple(e.values()) for e in early])
-        elif self.early.exists():
+            self.early.put([self._packed(early)])
+        elif held:
             self.early.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         entry = self._load()
+        known = entry is not None
         early: list[dict] = []
         if self.event_time:
             passed = self._passed(timerValues)
@@ -171,7 +206,7 @@ class LifecycleProcessor(StatefulProcessor):
             due = [e for e in held if e["us"] <= passed]
             early = [e for e in held if e["us"] > passed]
             if due:
-                self._hold(early)
+                self._hold(early, held)
             yield from self._take(key[0], entry, self._in_order(due))
             entry = self.left
             if entry is not None:
@@ -187,7 +222,7 @@ class LifecycleProcessor(StatefulProcessor):
             entry["timed_out"] = now - now % self.tick_us
             entry["timeouts"] += 1
             yield self._outcome(key[0], ESTIMATED_FAILED, entry, entry["timed_out"])
-        self._settle(entry, early, fired=True)
+        self._settle(entry, early, known, fired=True)
 
     def close(self) -> None:
         pass
