@@ -2,13 +2,16 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import SF, numbered, texts
 from waybill.llm import bpe
 from waybill.llm.catalog import QUERIES, tokenizer
+from waybill.llm.common import PIECE, append_columns
 
 PATH = tokenizer()
 LIBRARY = Tokenizer.from_file(PATH)
@@ -55,3 +58,13 @@ def test_awkward_rows_and_round_trip(spark):
     assert bpe.encode(docs.limit(0), PATH).count() == 0
     packed = bpe.encode(docs.filter("text = 'one'"), PATH, packed=True).first()
     assert base64.b64decode(packed["ids"]) == np.array(LIBRARY.encode("one").ids, "<u4").tobytes()
+
+
+def test_large_batches_are_computed_in_slices(spark):
+    """What is held beside a batch grows with a slice of its texts and not with the batch."""
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "IF(id = 7, NULL, repeat('x', 500000)) AS text")
+    fields = T.StructType([T.StructField("seen", T.LongType())])
+    out = append_columns(docs, fields, lambda texts: [pa.array([len(texts)] * len(texts), pa.int64())]).select("doc_id", "seen").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(60))
+    assert max(r["seen"] for r in out) * 500_000 <= PIECE + 1_000_000
+    assert append_columns(docs.limit(0), fields, lambda texts: [pa.array([0] * len(texts), pa.int64())]).collect() == []
