@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -95,6 +96,43 @@ def test_a_text_is_the_same_node_at_every_place_of_every_batch():
     assert len(nodes) == 1
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_do():
+    rng = random.Random(21)
+    for n in (0, 1, 30, 400, 5000):
+        base = [rng.getrandbits(63) for _ in range(n)]
+        other = base[n // 10 :] + [rng.getrandbits(63) for _ in range(n // 8)]
+        x, y = (J.sketch_of(np.array(v, np.uint64)) for v in (base, other))
+        differ, bits = len(set(base) ^ set(other)), sum(((int(a) ^ int(b)) % 2**64).bit_count() for a, b in zip(x, y))
+        assert bits <= differ and (differ - bits) % 2 == 0 and (n > 400 or bits >= 0.8 * differ)
+        # The order of the hashes does not matter.
+        assert (J.sketch_of(np.array(base[::-1], np.uint64)) == x).all()
+
+
+def test_near_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Edited copies of one text share shingles in their prefixes, but no two reach the threshold."""
+    rng = random.Random(22)
+    base = words(rng, 100, 10**6).split()
+    some = []
+    for _ in range(120):
+        near = list(base)
+        for at in rng.sample(range(0, 100, 4), 7):
+            near[at] = f"edit{rng.randrange(2)}x{at}"
+        some.append(" ".join(near))
+    compared = []
+    linked = J._linked
+
+    def counted(*args):
+        compared.append(next(x for x in args if "a" in getattr(x, "columns", [])).count())
+        return linked(*args)
+
+    monkeypatch.setattr(J, "_linked", counted)
+    monkeypatch.setattr(J, "BUCKET", 2)
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.join_components(docs, table_bits=16).collect())
+    assert got == brute(list(enumerate(some)), 4, 85)
+    assert sum(compared[1:]) <= len(some)
+
+
 def test_graph_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (100, 15), (7, 7)], "a long, b long")
     got = dict(components(links).collect())

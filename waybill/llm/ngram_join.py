@@ -11,7 +11,8 @@ Equal sets are one node from the start (told apart by size and a 64-bit sum of h
 in one bucket only, that of the first of both nodes' leading shingles. In buckets of many nodes not all pairs are written
 out: first every node is compared with the bucket's hub, the node with the fewest shingles of its own (copies of one text, changed
 here and there, hang on to the least changed one), then only nodes that are still in different components are paired, by a
-join that spills. Components come out as if all pairs had been compared.
+join that spills. It compares odd sketches of the sets: what both sets have cancels out, so each bit in which two sketches differ stands for a
+shingle that only one of the sets has, and sets that reach the threshold have few of those. Components come out as if all pairs had been compared.
 
 Words are runs outside [\\x20\\x09-\\x0D] after lower-casing A-Z; with fewer words than a shingle has, all of them are one shingle; null and
 empty texts are linked with nothing. Rows of equal doc_id are one document; rows without doc_id take part in links but give no
@@ -21,6 +22,7 @@ component_id. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,17 @@ def nodes_of(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix((total[begin[1:]] - total[begin[:-1]]) ^ mix(sizes)).astype(np.int64)
 
 
+#: Numbers of 64 bits in a sketch. With twice as many the join's generated method is too long for the JVM to compile.
+_SKETCH = 16
+_SKETCHES = [f"s{i}" for i in range(_SKETCH)]
+
+
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """``_SKETCH`` numbers with the bits to which an odd number of a set's hashes belong."""
+    counts = np.bincount((mix(h) % np.uint64(_SKETCH * 64)).astype(np.int64), minlength=_SKETCH * 64)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -227,10 +240,21 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _linked(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node and the sketch of its set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, _SKETCH), np.int64)
+            for i, x in enumerate(batch.column("shingles")):
+                found[i] = sketch_of(np.frombuffer(x.as_buffer(), "<u8"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(_SKETCH))], names=["node", *_SKETCHES])
+
+    return sets.mapInArrow(run, ", ".join(f"{name} long" for name in ["node", *_SKETCHES]))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut_lineage(_sets(documents, wanted, size))
     both = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"))
@@ -254,21 +278,29 @@ def node_links(documents: DataFrame, size: int, percent: int, table_bits: int =
     sent = _prefixes(documents, table, size, percent, slice_bits(total, SLICE_TEXT))
     found = cut_lineage(sent.groupBy("slice").applyInArrow(_pairs(percent), _FOUND))
     tried = cut_lineage(found.filter("kind = 0").select("a", "b").distinct())
-    links = cut_lineage(_linked(documents, tried, size, percent))
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select(F.col("b").alias("node"))).distinct()
+    links = cut_lineage(_linked(tried, cut_lineage(_sets(documents, wanted, size)), percent))
 
     members = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "own", "mask1", "mask2", "lead")
     if members.isEmpty():
         return links
     members = cut_lineage(members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = members.join(open_keys, "key")
+    rest = cut_lineage(members.join(open_keys, "key"))
+    if rest.isEmpty():
+        return links
+    sets = cut_lineage(_sets(documents, rest.select("node").distinct(), size))
+    rest = rest.join(_sketches(sets), "node")
     x, y = (rest.select("key", *(F.col(c).alias(p + c) for c in rest.columns if c != "key")) for p in ("x_", "y_"))
     most = F.least(F.col("x_n") - F.col("x_own"), F.col("y_n") - F.col("y_own"))
     possible = (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)) & (F.col("x_mask1").bitwiseAND(F.col("y_mask1")) != 0) & (F.col("x_mask2").bitwiseAND(F.col("y_mask2")) != 0)
+    # Sets of n and m shingles, of which ``differ`` are in one only, have (n + m - differ) / 2 in common.
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in _SKETCHES))
+    possible &= (100 + percent) * differ <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
     here = F.coalesce(F.get(F.array_remove(F.array_intersect("x_lead", "y_lead"), F.lit(0).cast("long")), F.lit(0)), F.col("key")) == F.col("key")
     across = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & possible & here)
     across = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.union(cut_lineage(_linked(documents, cut_lineage(across), size, percent)))
+    return links.union(cut_lineage(_linked(cut_lineage(across), sets, percent)))
 
 
 def join_components(documents: DataFrame, size: int = WORDS, percent: int = PERCENT, table_bits: int = TABLE_BITS) -> DataFrame:
