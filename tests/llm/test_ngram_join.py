@@ -133,6 +133,24 @@ def test_near_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, mo
     assert sum(compared[1:]) <= len(some)
 
 
+def test_components_are_whole_however_many_open_buckets_are_named(spark, monkeypatch):
+    """Pairs that share many buckets: components are whole with many and with few open buckets named with a node."""
+    rng = random.Random(23)
+    base = words(rng, 300, 10**6).split()
+    some = []
+    for _ in range(40):
+        near = list(base)
+        for at in rng.sample(range(0, 300, 10), 6):
+            near[at] = f"edit{rng.randrange(3)}x{at}"
+        some.append(" ".join(near))
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    monkeypatch.setattr(J, "BUCKET", 2)
+    for open_keys in (64, 1):
+        monkeypatch.setattr(J, "_OPEN", open_keys)
+        got = sorted(tuple(r) for r in J.join_components(docs, table_bits=16).collect())
+        assert got == brute(list(enumerate(some)), 4, 85)
+
+
 def test_graph_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, 5), (100, 15), (7, 7)], "a long, b long")
     got = dict(components(links).collect())

@@ -116,6 +116,8 @@ def _prefix(h: np.ndarray, level: np.ndarray, order: int, length: int) -> np.nda
 
 #: Bits per mask of a prefix, and leading shingles that decide where a pair is written.
 _MASK, _LEAD = 64, 4
+#: Open buckets of a node that are named with it; a pair that has none of them in common is written in each bucket of both.
+_OPEN = 64
 _COLUMNS = (("keys", "<i8"), ("nodes", "<i8"), ("sizes", "<i4"), ("own", "<i4"), ("mask1", "<u8"), ("mask2", "<u8"), *((f"lead{i}", "<i8") for i in range(_LEAD)))
 
 
@@ -290,14 +292,17 @@ def node_links(documents: DataFrame, size: int, percent: int, table_bits: int =
     if rest.isEmpty():
         return links
     sets = cut_lineage(_sets(documents, rest.select("node").distinct(), size))
-    rest = rest.join(_sketches(sets), "node")
+    # The open buckets a node is in, the smallest ones of many: a pair without a common lead goes to the first that both name.
+    keys = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _OPEN).alias("keys"))
+    rest = rest.join(_sketches(sets).join(keys, "node"), "node")
     x, y = (rest.select("key", *(F.col(c).alias(p + c) for c in rest.columns if c != "key")) for p in ("x_", "y_"))
     most = F.least(F.col("x_n") - F.col("x_own"), F.col("y_n") - F.col("y_own"))
     possible = (100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)) & (F.col("x_mask1").bitwiseAND(F.col("y_mask1")) != 0) & (F.col("x_mask2").bitwiseAND(F.col("y_mask2")) != 0)
     # Sets of n and m shingles, of which ``differ`` are in one only, have (n + m - differ) / 2 in common.
     differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x_{s}").bitwiseXOR(F.col(f"y_{s}"))) for s in _SKETCHES))
     possible &= (100 + percent) * differ <= (100 - percent) * (F.col("x_n") + F.col("y_n"))
-    here = F.coalesce(F.get(F.array_remove(F.array_intersect("x_lead", "y_lead"), F.lit(0).cast("long")), F.lit(0)), F.col("key")) == F.col("key")
+    lead = F.get(F.array_remove(F.array_intersect("x_lead", "y_lead"), F.lit(0).cast("long")), F.lit(0))
+    here = F.coalesce(lead, F.array_min(F.array_intersect("x_keys", "y_keys")), F.col("key")) == F.col("key")
     across = x.join(y, "key").filter((F.col("x_component") < F.col("y_component")) & possible & here)
     across = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return links.union(cut_lineage(_linked(cut_lineage(across), sets, percent)))
